@@ -292,9 +292,9 @@ def error_matches(low: Column) -> Column:
             n = F.when(low.contains(last), F.regexp_count(low, F.lit(f"(?d){pattern}"))).otherwise(0)
         else:
             removed = F.octet_length(low) - F.octet_length(F.replace(low, F.lit(pattern)))
-            n = (removed / F.lit(len(pattern))).cast("int")
+            n = F.call_function("div", removed, F.lit(len(pattern)))
         total = total + n
-    return total
+    return total.cast("int")
 
 
 def count_error_matches(df: DataFrame, text: str, out: str = "n_matches") -> DataFrame:

@@ -11,6 +11,7 @@ from buildlark.functions import logtext, scoring, times
 from buildlark.plans import views
 from buildlark.plans.registry import query
 from buildlark.plans.views import with_views
+from buildlark.session import settle
 
 # DuckDB texts of the shared steps.
 _SERVICE = r"nullif(regexp_extract(raw, '\[([A-Za-z][\w\-\.]{1,63})\]', 1), '')"
@@ -283,8 +284,10 @@ def combined_risk(spark, sf):
 SELECT id, risk_level, CASE risk_level WHEN 'HIGH' THEN 'CRITICAL' ELSE 'WARNING' END AS severity
 FROM predictions WHERE risk_level IN ('HIGH', 'MEDIUM')"""))
 def alert_severity(spark, sf):
+    # Stored first: a filter on a fresh verdict would be pushed below it and judge every line twice.
+    stored = settle(views.predictions(spark, sf).select("id", "risk_level"), "predictions")
     sev = scoring.alert_severity(F.col("risk_level"))
-    return views.predictions(spark, sf).select("id", "risk_level", sev.alias("severity")).where("severity IS NOT NULL")
+    return stored.select("id", "risk_level", sev.alias("severity")).where("severity IS NOT NULL")
 
 
 @query("fn28_keyword_verdict", with_views("""

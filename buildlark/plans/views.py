@@ -154,6 +154,48 @@ def build_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def build_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Builds of 20 consecutive log lines each."""
+    return event_logs(spark, sf).select(
+        F.expr("event_id div 20").alias("build"), F.expr("event_id % 20").alias("pos"),
+        F.col("msg").alias("line"),
+    )
+
+
+def model_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    size = F.col("p_size")
+    return p.select(
+        F.col("p_partkey").alias("created_at"),
+        (size / F.lit(50.0)).alias("accuracy"),
+        (size / F.lit(60.0)).alias("f1_score"),
+        (F.col("p_partkey") * 10).alias("test_samples"),
+        size.cast("bigint").alias("tp"), (size + 1).cast("bigint").alias("tn"),
+        (size % 7).cast("bigint").alias("fp"), (size % 5).cast("bigint").alias("fn"),
+    )
+
+
+def system_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer")
+    return c.select(
+        F.col("c_custkey").alias("created_at"),
+        F.floor(F.abs("c_acctbal")).cast("bigint").alias("successful_predictions"),
+        F.col("c_nationkey").cast("bigint").alias("failed_predictions"),
+        (F.col("c_nationkey") * F.lit(1.5)).alias("avg_prediction_time_ms"),
+    )
+
+
+def prediction_analytics(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions checked later: the outcome of an open order is still unknown."""
+    o = table(spark, sf, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("prediction_id"),
+        (F.col("o_totalprice") > 300000).alias("predicted_anomaly"),
+        F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "P", False).alias("actual_anomaly"),
+        F.col("o_orderdate").alias("predicted_at"),
+    )
+
+
 # ---------------------------------------------------------------------------
 # The same views for DuckDB.
 # ---------------------------------------------------------------------------
@@ -217,6 +259,18 @@ _VIEWS = {
   SELECT *, CASE WHEN raw_risk > 0.7e0 THEN 'HIGH' WHEN raw_risk > 0.4e0 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
     round(raw_risk, 2) AS risk_score
   FROM (SELECT *, 0 AS predicted_failures, confidence * 0.6e0 + 0.0e0 AS raw_risk FROM verdicts)""",
+    "build_events": """
+  SELECT event_id // 20 AS build, event_id % 20 AS pos, msg AS line FROM event_logs""",
+    "model_metrics": """
+  SELECT p_partkey AS created_at, p_size / 50.0e0 AS accuracy, p_size / 60.0e0 AS f1_score,
+    p_partkey * 10 AS test_samples, cast(p_size AS bigint) AS tp, cast(p_size + 1 AS bigint) AS tn,
+    cast(p_size % 7 AS bigint) AS fp, cast(p_size % 5 AS bigint) AS fn FROM part""",
+    "system_metrics": """
+  SELECT c_custkey AS created_at, cast(floor(abs(c_acctbal)) AS bigint) AS successful_predictions,
+    cast(c_nationkey AS bigint) AS failed_predictions, c_nationkey * 1.5e0 AS avg_prediction_time_ms FROM customer""",
+    "prediction_analytics": """
+  SELECT o_orderkey AS prediction_id, o_totalprice > 300000 AS predicted_anomaly,
+    CASE o_orderstatus WHEN 'F' THEN true WHEN 'P' THEN false END AS actual_anomaly, o_orderdate AS predicted_at FROM orders""",
     "build_lines": "SELECT conv_id AS build, turn AS pos, text AS line FROM conversations",
 }
 
