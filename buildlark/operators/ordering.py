@@ -161,10 +161,15 @@ def last_value_before(
 
 
 def salted_join(
-    big: DataFrame, per_key: DataFrame, keys: Sequence[str], spread: Column, salts: int = 32
+    big: DataFrame,
+    per_key: DataFrame,
+    keys: Sequence[str],
+    spread: Column,
+    how: str = "inner",
+    salts: int = 32,
 ) -> DataFrame:
-    """Inner join of ``big`` with one row per key, the rows of a hot key dealt to ``salts`` tasks."""
+    """Join ``big`` with one row per key, the rows of a hot key dealt to ``salts`` tasks."""
     keys = list(keys)
     dealt = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
+    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")

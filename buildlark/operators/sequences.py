@@ -35,6 +35,25 @@ def vocabulary(toks: DataFrame, min_freq: int = 1) -> DataFrame:
     return numbered.select("token", "n", (F.col("_no") + UNK).cast("int").alias("id"))
 
 
+def token_ids(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Add ``id`` to rows with a token: its number, 1 if it is unknown, NULL where token is NULL.
+
+    No broadcast hint: a vocabulary has no fixed size, Spark broadcasts it where it is small and
+    splits a hot token's rows where it is not.
+    """
+    coded = tokens.join(vocab.select("token", "id"), "token", "left")
+    return coded.withColumn("id", F.when(F.col("token").isNotNull(), F.coalesce("id", F.lit(UNK))))
+
+
+def leading(lines: DataFrame, value: str, n: int, pad) -> DataFrame:
+    """(build, values): ``value`` of the first n lines of each build in order, padded with ``pad``."""
+    by_pos = Window.partitionBy("build").orderBy("pos")
+    lead = lines.withColumn("_n", F.row_number().over(by_pos)).where(F.col("_n") <= n)
+    rows = lead.groupBy("build").agg(F.sort_array(F.collect_list(F.struct("_n", F.col(value).alias("v")))).alias("c"))
+    values = F.transform("c", lambda x: x["v"])
+    return rows.select("build", F.concat(values, F.array_repeat(F.lit(pad), F.lit(n) - F.size("c"))).alias("values"))
+
+
 def encode(toks: DataFrame, vocab: DataFrame) -> DataFrame:
     """(build, ids): SEQ_LEN lines of MAX_TOKENS ids per build, padded with 0.
 
@@ -46,10 +65,7 @@ def encode(toks: DataFrame, vocab: DataFrame) -> DataFrame:
         toks.withColumn("line_no", F.row_number().over(by_pos)).where(F.col("line_no") <= SEQ_LEN)
         .select("build", "line_no", F.posexplode_outer(F.slice("toks", 1, MAX_TOKENS)).alias("i", "token"))
     )
-    coded = lead.join(vocab.select("token", "id"), "token", "left").select(
-        "build", "line_no", "i",
-        F.when(F.col("token").isNotNull(), F.coalesce("id", F.lit(UNK))).alias("id"),
-    )
+    coded = token_ids(lead, vocab).select("build", "line_no", "i", "id")
     cells = coded.groupBy("build").agg(
         F.sort_array(F.collect_list(F.struct("line_no", "i", "id"))).alias("cells")
     )

@@ -17,7 +17,7 @@ the leaves concerned are gone through again; each round makes at least one more
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -317,12 +317,23 @@ def mine(
     return Mined(named, numbered, steps, branches)
 
 
-def summarise(mined: Mined, lines: DataFrame, top_k: int | None = None) -> DataFrame:
-    """(event_id, template, count, examples) per template, most frequent first."""
-    counts = mined.lines.groupBy("event_id").agg(F.count(F.lit(1)).alias("count"))
+def summarise(
+    assigned: DataFrame, templates: DataFrame, lines: DataFrame, top_k: int | None = None
+) -> DataFrame:
+    """(event_id, template, count, examples) per template, most frequent first.
+
+    ``assigned`` has pos and event_id, ``templates`` event_id, template and first_pos, ``lines``
+    pos and raw. The examples are picked by position before any text is touched.
+    """
+    counts = assigned.groupBy("event_id").agg(F.count(F.lit(1)).alias("count"))
+    ranked = (
+        templates.select("event_id", "template", "first_pos").join(counts, "event_id")
+        .orderBy(F.desc("count"), "first_pos")
+    )
+    ranked = ranked if top_k is None else ranked.limit(top_k)
     first = Window.partitionBy("event_id").orderBy("pos")
     picked = (
-        mined.lines.select("event_id", "pos").withColumn("_r", F.row_number().over(first))
+        assigned.select("event_id", "pos").withColumn("_r", F.row_number().over(first))
         .where(F.col("_r") <= EXAMPLES)
     )
     shown = (
@@ -331,11 +342,7 @@ def summarise(mined: Mined, lines: DataFrame, top_k: int | None = None) -> DataF
         .agg(F.sort_array(F.collect_list(F.struct("pos", "raw"))).alias("e"))
         .select("event_id", F.transform("e", lambda x: x["raw"]).alias("examples"))
     )
-    out = (
-        mined.templates.select("event_id", "template", "first_pos")
-        .join(counts, "event_id").join(shown, "event_id").orderBy(F.desc("count"), "first_pos")
-    )
-    out = out if top_k is None else out.limit(top_k)
+    out = ranked.join(shown, "event_id").orderBy(F.desc("count"), "first_pos")
     return out.select("event_id", "template", "count", "examples")
 
 

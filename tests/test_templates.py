@@ -104,7 +104,7 @@ def test_summary_top_k_counts_and_examples(spark):
              "DEBUG [d] Cache hit", "INFO [e] Deploy to production finished cleanly now", "FATAL [f] Out of memory",
              "INFO [g] Tests passed with coverage 87 and nothing skipped today"] + ["INFO [a] Build started"] * 5
     m = tm.mine(lines_df(spark, lines))
-    top = tm.summarise(m, lines_df(spark, lines), top_k=5).collect()
+    top = tm.summarise(m.lines, m.templates, lines_df(spark, lines), top_k=5).collect()
     assert len(top) == 5 and top[0]["count"] == 6 and len(top[0].examples) == 3
     assert [r["count"] for r in top] == sorted((r["count"] for r in top), reverse=True)
     assert m.templates.count() == 7
