@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     GBTClassificationModel,
@@ -48,6 +51,7 @@ class Settings:
     gbt_step: float = 0.1
     use_templates: bool = True
     max_terms: int = FT.MAX_TERMS
+    parallelism: int = 5  # fits running side by side
 
 
 @dataclass
@@ -157,18 +161,25 @@ def predictions(model: Model, rows: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def _each(tasks: list, fn, parallelism: int) -> list:
+    """Run independent fits side by side, as Spark's own cross-validator does."""
+    with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
+        return pool.map(inheritable_thread_target(fn), tasks)
+
+
 def cross_validate(rows: DataFrame, names, s: Settings, folds: int = FOLDS) -> DataFrame:
     """(model_name, fold, accuracy, precision, recall, f1_score) over stratified folds."""
-    out = None
-    for name in names:
-        for k in range(folds):
-            model = _fit(name, rows.where(F.col("fold") != k), s)
-            held = predictions(model, rows.where(F.col("fold") == k))
-            score = M.scores(held, "label", "prediction").select(
-                F.lit(name).alias("model_name"), F.lit(k).alias("fold"), "accuracy", "precision", "recall", "f1_score"
-            )
-            out = score if out is None else out.unionByName(score)
-    return out
+
+    def held_out(task: tuple[str, int]) -> DataFrame:
+        name, k = task
+        model = _fit(name, rows.where(F.col("fold") != k), s)
+        held = predictions(model, rows.where(F.col("fold") == k))
+        return M.scores(held, "label", "prediction").select(
+            F.lit(name).alias("model_name"), F.lit(k).alias("fold"), "accuracy", "precision", "recall", "f1_score"
+        )
+
+    parts = _each([(name, k) for name in names for k in range(folds)], held_out, s.parallelism)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def train(rows: DataFrame, text: str = "log_text", settings: Settings | None = None) -> Classifier | None:
@@ -185,8 +196,8 @@ def train(rows: DataFrame, text: str = "log_text", settings: Settings | None = N
     folds = settle(cross_validate(ready, s.models, s), "folds")
     clf.cv = M.cv_summary(folds, ["model_name"])
     clf.best = best_model(clf.cv).first()["model_name"]
-    for name in s.models:
-        clf.models[name] = _fit(name, ready, s)
+    fitted = _each(list(s.models), lambda name: _fit(name, ready, s), s.parallelism)
+    clf.models = dict(zip(s.models, fitted))
     return clf
 
 
@@ -248,6 +259,10 @@ def feature_importance(clf: Classifier, top_n: int = 20) -> DataFrame | None:
 _READERS = {LR: LogisticRegressionModel, RF: RandomForestClassificationModel, GBT: GBTClassificationModel}
 
 
+def _file_name(name: str) -> str:
+    return name.lower().replace(" ", "_")
+
+
 def save(clf: Classifier, path: str) -> None:
     """Write models, feature space, templates and figures below ``path``."""
     spark = SparkSession.getActiveSession()
@@ -264,10 +279,6 @@ def save(clf: Classifier, path: str) -> None:
     spark.createDataFrame([(about,)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
 
-def _file_name(name: str) -> str:
-    return name.lower().replace(" ", "_")
-
-
 def load(path: str) -> Classifier:
     """Read a stored classifier; one without templates comes back as TF-IDF only."""
     spark = SparkSession.getActiveSession()

@@ -158,7 +158,10 @@ def trend_check(spark, sf):
 # --- builds as sequences ---------------------------------------------------------------
 @query("seq2_learning_curve")
 def learning_curve(spark, sf):
-    return _run(spark, sf).build_model.curve
+    fitted = _run(spark, sf).build_model
+    if fitted is None:  # fewer than fifty builds to train on
+        return spark.createDataFrame([], BM.CURVE)
+    return fitted.curve
 
 
 @query("seq3_score_builds")
@@ -184,7 +187,7 @@ v AS (SELECT req.*, predicted_failures, {views.sql_error_matches('logs')} AS n F
 s AS (SELECT *, n > 0 AS is_anomaly, CASE WHEN n > 0 THEN n * (-0.5e0) ELSE 0.0e0 END AS anomaly_score,
   CASE WHEN n > 0 THEN least(0.9e0, 0.5e0 + 0.1e0 * n) ELSE 0.85e0 END AS confidence FROM v),
 r AS (SELECT *, confidence * 0.6e0 + CASE WHEN predicted_failures > 3 THEN 0.4e0 ELSE 0.0e0 END AS raw_risk FROM s),
-scored AS (SELECT *, CASE WHEN raw_risk > 0.7e0 THEN 'HIGH' WHEN raw_risk > 0.4e0 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM r)"""
+risked AS (SELECT *, CASE WHEN raw_risk > 0.7e0 THEN 'HIGH' WHEN raw_risk > 0.4e0 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM r)"""
 
 
 def _scored(spark, sf, clf=None) -> DataFrame:
@@ -198,7 +201,7 @@ def _scored(spark, sf, clf=None) -> DataFrame:
 WITH {_SCORED}
 SELECT id, pipeline_id, logs, is_anomaly, anomaly_score, confidence, predicted_failures, raw_risk, risk_level, round(raw_risk, 2) AS risk_score,
   CASE split_part(substr(logs, 21), ' ', 1) WHEN 'WARN' THEN 'WARNING' WHEN 'from' THEN 'UNKNOWN' ELSE
-    CASE WHEN starts_with(logs, 'Build') THEN 'UNKNOWN' ELSE split_part(substr(logs, 21), ' ', 1) END END AS log_level FROM scored"""))
+    CASE WHEN starts_with(logs, 'Build') THEN 'UNKNOWN' ELSE split_part(substr(logs, 21), ' ', 1) END END AS log_level FROM risked"""))
 def score_logs(spark, sf):
     out = P.parse_first_lines(_scored(spark, sf), "logs")
     return out.select("id", "pipeline_id", "logs", "is_anomaly", "anomaly_score", "confidence", "predicted_failures",
@@ -259,7 +262,7 @@ def training_rows(spark, sf):
 
 # --- stored tables -----------------------------------------------------------------------------
 @query("snk1_append_predictions", with_views(f"""
-WITH {_SCORED} SELECT id, pipeline_id, left(logs, 500) AS log_snippet, is_anomaly, confidence AS anomaly_confidence, predicted_failures, risk_level FROM scored"""))
+WITH {_SCORED} SELECT id, pipeline_id, left(logs, 500) AS log_snippet, is_anomaly, confidence AS anomaly_confidence, predicted_failures, risk_level FROM risked"""))
 def append_predictions(spark, sf):
     root = new_table_path(spark, "store")
     tables.store_predictions(_scored(spark, sf), root)
@@ -270,7 +273,7 @@ def append_predictions(spark, sf):
 
 @query("snk2_append_alerts", with_views(f"""
 WITH {_SCORED} SELECT id AS prediction_id, pipeline_id, 'ANOMALY' AS alert_type, CASE risk_level WHEN 'HIGH' THEN 'CRITICAL' ELSE 'WARNING' END AS severity,
-  false AS is_resolved FROM scored WHERE risk_level <> 'LOW'"""))
+  false AS is_resolved FROM risked WHERE risk_level <> 'LOW'"""))
 def append_alerts(spark, sf):
     root = new_table_path(spark, "store")
     tables.store_predictions(_scored(spark, sf), root)
