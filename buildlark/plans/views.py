@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buildlark.functions import logtext, scoring
-from buildlark.sources.tables import scan
+from buildlark.sources.tables import dealt_out, scan
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -26,7 +26,7 @@ def as_of():
 
 def event_logs(spark: SparkSession, sf: str) -> DataFrame:
     """Log lines: event_id (line number), ts, job, msg, raw = time stamp + msg."""
-    e = table(spark, sf, "events")
+    e = dealt_out(table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "props"))
     num = F.get_json_object("props", "$.k")
     kind, eid = F.col("event_type"), F.col("event_id")
     level = (
