@@ -113,7 +113,7 @@ def split_lines(blob: Column) -> Column:
 def content_lines(blob: Column) -> Column:
     """The non-blank lines of a blob; the stripped blob alone where every line is blank."""
     kept = F.filter(split_lines(blob), lambda line: ~is_blank(line))
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(strip(blob)))
+    return F.when(is_blank(blob), F.array(strip(blob))).otherwise(kept)
 
 
 def first_line(blob: Column) -> Column:
@@ -305,16 +305,14 @@ def words(text: Column) -> Column:
 
 
 def unigrams_and_bigrams(word_array: Column) -> Column:
-    """All words followed by all pairs of neighbours, with repeats."""
-    pairs = F.when(
-        F.size(word_array) > 1,
-        F.zip_with(
-            F.slice(word_array, F.lit(1), F.greatest(F.size(word_array) - 1, F.lit(0))),
-            F.slice(word_array, F.lit(2), F.greatest(F.size(word_array) - 1, F.lit(0))),
-            lambda a, b: F.concat_ws(" ", a, b),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.concat(word_array, pairs)
+    """All words followed by all pairs of neighbours, with repeats. Pass a column, not a formula."""
+    pairs = F.zip_with(
+        word_array,
+        F.slice(word_array, F.lit(2), F.greatest(F.size(word_array), F.lit(1))),
+        lambda a, b: F.concat(a, F.lit(" "), b),
+    )
+    # The last word has no neighbour: its pair is NULL.
+    return F.concat(word_array, F.array_compact(pairs))
 
 
 def head(text: Column, n: int) -> Column:

@@ -97,36 +97,38 @@ def structured_long(lines: DataFrame, of: DataFrame, key: str, reference_none: b
 # ---------------------------------------------------------------------------
 # TF-IDF
 # ---------------------------------------------------------------------------
-def terms(text: Column) -> Column:
-    """Uni- and bigrams of the normalised text, with repeats."""
-    return logtext.unigrams_and_bigrams(logtext.words(logtext.tfidf_text(text)))
+def with_terms(docs: DataFrame, text: str, out: str) -> DataFrame:
+    """Add the uni- and bigrams of the normalised text, with repeats; words are found once per row."""
+    found = docs.withColumn("_words", logtext.words(logtext.tfidf_text(F.col(text))))
+    return found.withColumn(out, logtext.unigrams_and_bigrams(F.col("_words"))).drop("_words")
 
 
 def vocabulary(docs: DataFrame, text: str, max_terms: int = MAX_TERMS) -> DataFrame:
     """(term, idx, df, idf) of the most frequent terms, idx in alphabetical order.
 
-    Both counts combine on the map side; only the kept terms are counted per document.
+    One pass: a document's terms are sorted, so the first of each run counts for the document,
+    and both counts combine on the map side with no shuffle by document.
     """
-    t = docs.select(terms(F.col(text)).alias("t"))
+    sorted_terms = with_terms(docs.select(text), text, "t").select(F.sort_array("t").alias("t"))
+    flagged = F.zip_with(
+        "t", F.concat(F.array(F.lit(None).cast("string")), "t"),
+        lambda a, b: F.struct(a.alias("term"), (~a.eqNullSafe(b)).alias("is_first")),
+    )
+    flat = sorted_terms.select(F.explode(flagged).alias("c")).select("c.term", "c.is_first").where("term IS NOT NULL")
     kept = (
-        t.select(F.explode("t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
+        flat.groupBy("term").agg(F.count(F.lit(1)).alias("cf"), F.count_if("is_first").alias("df"))
         .orderBy(F.desc("cf"), "term").limit(max_terms)
     )
-    df = (
-        t.select(F.explode(F.array_distinct("t")).alias("term"))
-        .join(F.broadcast(kept.select("term")), "term", "left_semi")
-        .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    )
     n = docs.agg(F.count(F.lit(1))).scalar()
     idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     # At most max_terms rows are numbered here.
-    return df.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("idx"), "df", idf.alias("idf"))
+    return kept.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("idx"), "df", idf.alias("idf"))
 
 
 def tfidf_long(docs: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
     """(key, idx, term, weight): sublinear tf times idf, each document scaled to length 1."""
     counted = (
-        docs.select(key, F.explode(terms(F.col(text))).alias("term"))
+        with_terms(docs.select(key, text), text, "t").select(key, F.explode("t").alias("term"))
         .join(F.broadcast(vocab.select("term", "idx", "idf")), "term")
         .groupBy(key, "idx", "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
         .withColumn("w", (F.lit(1.0) + F.log("tf")) * F.col("idf"))
@@ -196,7 +198,7 @@ def vectors(lines: DataFrame, text: str, space: FeatureSpace, out: str = "featur
     """
     idf = np.array(space.idf)
     size, offset = space.size, len(space.terms)
-    counted = lines.withColumn("_terms", terms(F.col(text)))
+    counted = with_terms(lines, text, "_terms")
     if space.terms:
         counter = CountVectorizerModel.from_vocabulary(space.terms, inputCol="_terms", outputCol="_counts")
         counted = counter.transform(counted)

@@ -15,6 +15,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from buildlark.session import settle
+
 CUTS = 512
 CHUNK_ROWS = 1_000_000
 
@@ -65,8 +67,11 @@ def number_rows(
 
 
 def number_globally(df: DataFrame, col: str, out: str, cuts: int = CUTS) -> DataFrame:
-    """1-based position of each row by a unique numeric column."""
-    cut = quantile_buckets(df, col, "_bucket", cuts)
+    """1-based position of each row by a unique numeric column.
+
+    ``df`` is written first: finding the cuts, counting and numbering each read it.
+    """
+    cut = quantile_buckets(settle(df, "number"), col, "_bucket", cuts)
     return number_rows(cut, [], "_bucket", [F.col(col)], out).drop("_bucket")
 
 
@@ -81,9 +86,10 @@ def running_sums(
 ) -> DataFrame:
     """Replace each column of ``sums`` by its inclusive running sum along ``order``.
 
-    ``order`` must be unique (group by it first).
+    ``order`` must be unique (group by it first). ``df`` is written first: finding the cuts, the
+    totals and the sums each read it.
     """
-    cut = quantile_buckets(df, order, "_bucket", cuts)
+    cut = quantile_buckets(settle(df, "running"), order, "_bucket", cuts)
     way = F.desc if descending else F.asc
     inside = Window.partitionBy("_bucket").orderBy(way(order)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -106,7 +112,7 @@ def neighbour_before(
     df: DataFrame, order: str, cols: Sequence[str], descending: bool = True, cuts: int = CUTS
 ) -> DataFrame:
     """Add ``prev_<c>``: the value of each column on the preceding row along unique ``order``."""
-    cut = quantile_buckets(df, order, "_bucket", cuts)
+    cut = quantile_buckets(settle(df, "neighbours"), order, "_bucket", cuts)
     way = F.desc if descending else F.asc
     last_of = F.min_by if descending else F.max_by
     inside = Window.partitionBy("_bucket").orderBy(way(order))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from buildlark.functions import logtext
 from buildlark.functions.scoring import count_if, ratio
 from buildlark.operators.ordering import number_rows, quantile_buckets, salted_join
+from buildlark.session import settle
 
 # Fixed values.
 SEQ_LEN = 20
@@ -28,6 +29,8 @@ def vocabulary(toks: DataFrame, min_freq: int = 1) -> DataFrame:
     counted = seen.groupBy("token").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("build", "pos", "i")).alias("first")
     ).where(F.col("n") >= min_freq).select("token", "n", "first.*")
+    # One row per token from here on; numbering reads them several times.
+    counted = settle(counted, "tokens")
     cut = quantile_buckets(counted, "build", "_q").withColumn(
         "_bucket", F.struct("_q", F.floor(F.col("pos") / _POS_BLOCK).alias("_b"))
     )

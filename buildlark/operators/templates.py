@@ -56,8 +56,9 @@ class Mined:
 # ---------------------------------------------------------------------------
 def masked_line(line: Column) -> Column:
     """The masked line with single blanks; one wildcard for an empty line."""
-    joined = F.array_join(logtext.tokens(logtext.mask(F.coalesce(line, F.lit("")))), " ")
-    return F.when(joined == "", F.lit(logtext.WILDCARD)).otherwise(joined)
+    text = F.coalesce(line, F.lit(""))
+    joined = F.array_join(logtext.tokens(logtext.mask(text)), " ")
+    return F.when(logtext.is_blank(text), F.lit(logtext.WILDCARD)).otherwise(joined)
 
 
 def first_keys(
@@ -310,7 +311,7 @@ def mine(
     found = steps.groupBy("leaf").applyInPandas(
         _final_templates(similarity), "leaf string, cluster int, template string, first_pos long"
     )
-    numbered = settle(number_globally(settle(found, "found"), "first_pos", "_no"), "templates").withColumn(
+    numbered = settle(number_globally(found, "first_pos", "_no"), "templates").withColumn(
         "event_id", logtext.event_id(F.col("_no") - 1)
     ).drop("_no")
     named = settled.join(numbered.select("leaf", "cluster", "event_id", "template"), ["leaf", "cluster"])
@@ -399,7 +400,8 @@ def assign(
     per_leaf = templates.groupBy("leaf").agg(
         F.collect_list(F.struct("event_id", "first_pos", F.split("template", " ").alias("t"))).alias("stored")
     )
-    toks = F.split("masked", " ")
+    routed = routed.withColumn("_toks", F.split("masked", " "))
+    toks = F.col("_toks")
     scored = F.transform(
         "stored",
         lambda c: F.struct(

@@ -208,7 +208,7 @@ def tfidf(spark, sf):
 WITH {_terms_sql('text', 'doc_id', 'documents', 5000)} SELECT term, idx, df, round(idf, 9) AS idf FROM vocab"""))
 def top_terms(spark, sf):
     """The 5 000 most frequent terms of all documents."""
-    docs = views.table(spark, sf, "documents").select("doc_id", "text")
+    docs = views.documents(spark, sf)
     return FT.vocabulary(docs, "text").withColumn("idf", F.round("idf", 9))
 
 

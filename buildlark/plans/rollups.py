@@ -108,7 +108,7 @@ SELECT doc_id, cast(unnest(range(0, len(l))) AS integer) AS pos, md5(unnest(l))
   SELECT doc_id, CASE WHEN len({_LINES}) > 0 THEN {_LINES}
     ELSE [regexp_replace(text, '^[{_WS}]+|[{_WS}]+$', '', 'g')] END AS l FROM documents)""")
 def blob_lines(spark, sf):
-    d = views.table(spark, sf, "documents")
+    d = views.documents(spark, sf)
     return payloads.blob_lines(d, "text", "doc_id").withColumn("line", F.md5("line"))
 
 
@@ -116,7 +116,7 @@ def blob_lines(spark, sf):
 SELECT doc_id, md5(CASE WHEN len({_LINES}) > 0 THEN {_LINES}[1]
   ELSE regexp_replace(text, '^[{_WS}]+|[{_WS}]+$', '', 'g') END) AS line FROM documents""")
 def first_line(spark, sf):
-    return views.table(spark, sf, "documents").select(
+    return views.documents(spark, sf).select(
         "doc_id", F.md5(logtext.first_line(F.col("text"))).alias("line")
     )
 

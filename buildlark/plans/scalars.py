@@ -187,10 +187,10 @@ def error_matches(spark, sf):
 SELECT event_id, array_to_string(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), '|') AS terms
 FROM (SELECT event_id, regexp_extract_all({sql_tfidf_text('raw')}, '\b\w\w+\b') AS w FROM event_logs)"""))
 def unigrams_bigrams(spark, sf):
-    w = logtext.words(logtext.tfidf_text(F.col("raw")))
-    return views.event_logs(spark, sf).select(
-        "event_id", F.array_join(logtext.unigrams_and_bigrams(w), "|").alias("terms")
-    )
+    from buildlark.operators.features import with_terms
+
+    lines = with_terms(views.event_logs(spark, sf).select("event_id", "raw"), "raw", "t")
+    return lines.select("event_id", F.array_join("t", "|").alias("terms"))
 
 
 @query("fn17_truncate", """

@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return scan(spark, f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id and text of every document."""
+    return dealt_out(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def as_of():
     return F.lit(AS_OF).cast("timestamp_ntz")
 
@@ -149,7 +154,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 def build_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Build sequences: one row per (build, pos) with its text; every conversation is a build."""
-    return table(spark, sf, "conversations").select(
+    return dealt_out(table(spark, sf, "conversations")).select(
         F.col("conv_id").alias("build"), F.col("turn").alias("pos"), F.col("text").alias("line")
     )
 
