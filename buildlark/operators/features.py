@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from buildlark.functions import logtext
+from buildlark.session import settle
 
 # Fixed values.
 TOP_TEMPLATES = 200
@@ -127,18 +128,19 @@ def vocabulary(docs: DataFrame, text: str, max_terms: int = MAX_TERMS) -> DataFr
 
 def tfidf_long(docs: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
     """(key, idx, term, weight): sublinear tf times idf, each document scaled to length 1."""
+    # A few thousand rows that are joined twice; written so that the texts are not counted twice.
+    vocab = settle(vocab.select("term", "idx", "idf"), "vocabulary")
     counted = (
         with_terms(docs.select(key, text), text, "t").select(key, F.explode("t").alias("term"))
-        .join(F.broadcast(vocab.select("term", "idx", "idf")), "term")
-        .groupBy(key, "idx", "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
-        .withColumn("w", (F.lit(1.0) + F.log("tf")) * F.col("idf"))
+        .join(F.broadcast(vocab.select("term", "idx")), "term")
+        .groupBy(key, "idx").agg(F.count(F.lit(1)).alias("tf"))
+        .join(F.broadcast(vocab), "idx")
+        .select(key, "idx", "term", ((F.lit(1.0) + F.log("tf")) * F.col("idf")).alias("w"))
     )
     # A document has at most one row per kept term here.
-    cells = counted.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("idx", "term", "w"))).alias("cells"))
-    norm = F.sqrt(F.aggregate("cells", F.lit(0.0), lambda acc, c: acc + c["w"] * c["w"]))
-    return cells.select(key, norm.alias("norm"), F.explode("cells").alias("c")).select(
-        key, F.col("c.idx").alias("idx"), F.col("c.term").alias("term"), (F.col("c.w") / F.col("norm")).alias("weight")
-    )
+    whole = Window.partitionBy(key)
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(whole))
+    return counted.select(key, "idx", "term", (F.col("w") / norm).alias("weight"))
 
 
 # ---------------------------------------------------------------------------
