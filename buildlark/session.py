@@ -4,10 +4,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Needed where it is not installed on the executors. Spark itself copies the archive from the
+    driver to them; nothing else is read from the driver's folder.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    folder = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="run-")) / "buildlark.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(folder.rglob("*.py")):
+            z.write(source, source.relative_to(folder.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
 def build_session(app: str = "buildlark", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings every job here assumes (UTC, AQE with skew handling)."""
     b = (
@@ -21,7 +44,9 @@ def build_session(app: str = "buildlark", master: str | None = None, **conf) ->
         b = b.master(master)
     for key, value in conf.items():
         b = b.config(key, value)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
