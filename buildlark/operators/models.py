@@ -88,7 +88,7 @@ def best_model(cv: DataFrame, order=MODEL_ORDER) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Features of labelled or new lines
 # ---------------------------------------------------------------------------
-def _described(lines: DataFrame, text: str, event_id: str, template: Column) -> DataFrame:
+def _described(lines: DataFrame, text: str, template: Column) -> DataFrame:
     """Add service, level and the numeric features to lines that know their template."""
     line = F.col(text)
     params = logtext.parameters(F.split(template, " "), F.split("masked", " "))
@@ -119,7 +119,7 @@ def featurise(rows: DataFrame, text: str, clf: Classifier) -> DataFrame:
     with_event = TM.assign(masked, clf.templates, clf.branches, unseen=FT.OTHER)
     # Templates can be many on free text: no hint, Spark broadcasts them only if they are small.
     named = with_event.join(clf.templates.select("event_id", "template"), "event_id", "left")
-    described = _described(named, text, "event_id", F.col("template"))
+    described = _described(named, text, F.col("template"))
     out = FT.vectors(described, text, clf.space)
     return out.select(*rows.columns, "features")
 
