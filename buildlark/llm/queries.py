@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlark.llm import bpe, chat, mixing, secret_scan
+from buildlark.llm import bpe, chat, minhash, mixing, secret_scan
 from buildlark.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -104,3 +104,8 @@ FROM placed
 @query("op8_mix_sources", MIX_SQL)
 def mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents").select("doc_id", "source", "text")).drop("source", "text")
+
+
+@query("op6_minhash_dedup")
+def minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf, "documents"))
