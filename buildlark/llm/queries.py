@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlark.llm import bpe, chat, minhash, mixing, secret_scan
+from buildlark.llm import bpe, chat, minhash, mixing, secret_scan, toxicity
 from buildlark.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -109,3 +109,11 @@ def mix_sources(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_minhash_dedup")
 def minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op1_toxicity")
+def toxicity_scores(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    lexicon = toxicity.learn(docs, table(spark, sf, "labels"))
+    out = toxicity.score(docs, lexicon)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
