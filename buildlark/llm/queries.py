@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlark.llm import bpe, chat, minhash, mixing, secret_scan, toxicity
+from buildlark.llm import bpe, chat, minhash, mixing, secret_scan, substrings, toxicity
 from buildlark.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -117,3 +117,8 @@ def toxicity_scores(spark: SparkSession, sf: str) -> DataFrame:
     lexicon = toxicity.learn(docs, table(spark, sf, "labels"))
     out = toxicity.score(docs, lexicon)
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op2_substring_dedup")
+def substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf, "documents"))
