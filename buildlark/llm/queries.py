@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlark.llm import bpe, chat, minhash, mixing, secret_scan, substrings, toxicity
+from buildlark.llm import ann, bpe, chat, minhash, mixing, secret_scan, substrings, token_files, topk, toxicity, vectors
 from buildlark.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -122,3 +122,35 @@ def toxicity_scores(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_substring_dedup")
 def substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf, "documents"))
+
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id AND len(a.q) = len(b.q)
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op3_exact_top_k", TOP_K_SQL)
+def exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(vectors.usable(table(spark, sf, "embeddings")), F.col("vec_id") % 50 == 0)
+
+
+@query("op9_multiprobe_nearest")
+def multiprobe_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return ann.nearest(vectors.usable(table(spark, sf, "embeddings"), zero=False), F.col("vec_id") % 50 == 0)
+
+
+@query("op4_token_files")
+def write_and_read_ids(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    files = token_files.write(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read(spark, files, token_files.keys_of(docs))
