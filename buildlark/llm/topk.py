@@ -23,7 +23,18 @@ EXACT = 1 << 20
 def quantised(v: np.ndarray, steps: int) -> np.ndarray:
     """floor(steps * x) as whole doubles, or as Python integers where those would not add up exactly."""
     q = np.floor(steps * v)
-    return q if not q.size or np.abs(q).max() <= EXACT else np.vectorize(int, otypes=[object])(q)
+    if not q.size or np.abs(q).max() <= EXACT:
+        return q
+    whole = np.empty(q.size, object)
+    whole[:] = [int(x) for x in q.ravel().tolist()]
+    return whole.reshape(q.shape)
+
+
+def best_first(ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Places in order of score, highest first, then id."""
+    if scores.dtype != object:
+        return np.lexsort((ids, -scores))
+    return np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i])), np.int64)
 
 
 class Lists:
@@ -53,7 +64,7 @@ class Lists:
             new = np.nonzero(fresh)[0]
             ids = np.concatenate([ids, self.ids[new]])
             scores = np.concatenate([scores, self.v[new] @ q])
-            top = np.lexsort((ids, -scores))[:k]
+            top = best_first(ids, scores)[:k]
             ids, scores = ids[top], scores[top]
             if depth == n or not len(up) + len(down):
                 return ids, scores
@@ -76,11 +87,10 @@ def top_k(rows: DataFrame, queries: Column, k: int = 5, steps: int = 256) -> Dat
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, v = arrays(left)
-        lists = Lists(ids, quantised(v, steps))
-        found = []
-        for own, q in zip(*(lambda i, x: (i.tolist(), quantised(x, steps)))(*arrays(right))):
-            if q.dtype != lists.v.dtype:
-                q = q.astype(object)
+        owns, asked = arrays(right)
+        both = quantised(np.concatenate([v, asked]), steps)
+        lists, found = Lists(ids, both[:len(v)]), []
+        for own, q in zip(owns.tolist(), both[len(v):]):
             got, scores = lists.search(q, k, own)
             scores = [max(-(1 << 63), min((1 << 63) - 1, int(s))) for s in scores]
             found.append((np.full(len(got), own), got, np.array(scores, np.int64)))

@@ -61,7 +61,13 @@ def against_all(
     left = sized.withColumn("block", number(blocks)).withColumn("part", every(parts))
     right = sized.where(queries).withColumn("part", number(parts)).withColumn("block", every(blocks))
     keys = ["dim", "block", "part"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(work, f"query_id long, vec_id long, score {score}")
+
+    def both(vectors: pa.Table, asked: pa.Table) -> pa.Table:
+        if vectors.num_rows and asked.num_rows:
+            return work(vectors, asked)
+        return as_table([], [], [], pa.int64() if score == "long" else pa.float64())
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(both, f"query_id long, vec_id long, score {score}")
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
