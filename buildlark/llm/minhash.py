@@ -2,9 +2,10 @@
 
 Documents with the same shingle set are one class and only its smallest id goes on. Classes that
 agree in a band of minima share a bucket. Not all pairs of a bucket are formed: its members are held
-against two of them first, components are found, and only pairs of members that are still in
-different components are looked at again. Every pair that shares a bucket is therefore either
-confirmed, refused, or joined by other links.
+against two of them first and components are found. Buckets that still hold four or more members in
+different components are put together where they share members; such a clump is cut into blocks, each
+pair of blocks counts its intersections as a matrix product, and hands out a spanning forest of the
+links. Every pair that shares a bucket is therefore either confirmed, refused, or joined by others.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +30,8 @@ LEAST = 75
 #: Pairs whose minima agree in a smaller share are refused without their sets; 0.75 is over 6 standard
 #: deviations away from it.
 SIGNATURE_LEAST = 0.5
-#: Rounds that hold unsettled buckets against one more member each before all open pairs are formed.
-STAR_ROUNDS = 4
+#: Members and shingles that a block of a clump holds, about; columns that are multiplied at once.
+BLOCK_MEMBERS, BLOCK_SHINGLES, COLUMNS = 1_000, 2_000_000, 2_048
 
 _rng = np.random.default_rng(77)
 FACTOR = _rng.integers(1, 1 << 62, BANDS * ROWS, dtype=U) * U(2) + U(1)
@@ -133,34 +135,85 @@ def _pair(a: Column, b: Column) -> list[Column]:
     return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
 
 
+def _between_blocks(group: pd.DataFrame) -> pd.DataFrame:
+    """A spanning forest of the links between the members of two blocks (or within one)."""
+    ids, own = group["id"].to_numpy(), group["component"].to_numpy()
+    none = pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
+    if len(np.unique(own)) < 2:
+        return none
+    sets = [np.frombuffer(x, U) for x in group["shingles"]]
+    size = np.array([len(x) for x in sets])
+    shingle, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.nonzero(times > 1)[0]
+    place = np.full(len(shingle), -1)
+    place[shared] = np.arange(len(shared))
+    member, column = np.repeat(np.arange(len(sets)), size), place[column]
+    order = np.argsort(column, kind="stable")
+    member, column = member[order], column[order]
+    first, second = (np.nonzero(group["block"].to_numpy() == group[c].iloc[0])[0] for c in ("i", "j"))
+    both = np.zeros((len(first), len(second)), np.float32)
+    for low in range(0, len(shared), COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[member[a:b], column[a:b] - low] = 1
+        both += part[first] @ part[second].T
+    union = size[first][:, None] + size[second][None, :] - both
+    x, y = np.nonzero((100 * both >= LEAST * union) & (own[first][:, None] != own[second][None, :]))
+    if not len(x):
+        return none
+    x, y = first[x], second[y]
+    _, one = np.unique(np.stack([own[x], own[y]]), axis=1, return_index=True)
+    up: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while up.setdefault(c, c) != c:
+            up[c] = up[up[c]]
+            c = up[c]
+        return c
+
+    kept = []
+    for k in one.tolist():
+        p, q = root(own[x[k]]), root(own[y[k]])
+        if p != q:
+            up[p] = q
+            kept.append(k)
+    a, b = ids[x[kept]], ids[y[kept]]
+    return pd.DataFrame({"u": np.maximum(a, b), "v": np.minimum(a, b)})
+
+
 def _link(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """``node, component`` of all bucket members (key, id), by confirmed links only."""
-    spark = members.sparkSession
-    edges, found = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        if found is None:
-            open_ = members.withColumn("component", F.col("id"))
-        else:
-            owned = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn(
-                "component", F.coalesce("component", "id"))
-            mixed = owned.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-            open_ = settle(owned.join(mixed, "key"), "open")
-            if open_.isEmpty():
-                break
-        if turn < STAR_ROUNDS:
-            order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
-            centre = open_.groupBy("key").agg(
-                F.min_by(F.struct("id", "component"), order).alias("m"), F.max_by(F.struct("id", "component"), order).alias("n"))
-            near = open_.join(centre, "key")
-            pairs = near.where("component <> m.component").select(*_pair(F.col("id"), F.col("m.id"))).unionByName(
-                near.where("component <> n.component").select(*_pair(F.col("id"), F.col("n.id"))))
-        else:
-            left, right = (open_.select("key", F.col("id").alias(i), F.col("component").alias(c)) for i, c in (("x", "cx"), ("y", "cy")))
-            pairs = left.join(right, "key").where("cx < cy").select(*_pair(F.col("x"), F.col("y")))
-        new = settle(_confirmed(pairs.distinct(), sets), "confirmed")
-        edges = new if edges is None else edges.unionByName(new)
-        found = settle(components(edges), "components")
-    return found
+    """``node, component`` of all bucket members (key, id) with a link, by confirmed links only."""
+    centre = members.groupBy("key").agg(F.min("id").alias("m"), F.max("id").alias("n"))
+    near = members.join(centre, "key")
+    pairs = near.where("id <> m").select(*_pair(F.col("id"), F.col("m"))).unionByName(
+        near.where("id <> n").select(*_pair(F.col("id"), F.col("n")))).distinct()
+    edges = settle(_confirmed(pairs, sets), "confirmed")
+    found = settle(components(edges), "components")
+    owned = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn(
+        "component", F.coalesce("component", "id"))
+    mixed = owned.groupBy("key").agg(
+        F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n"), F.min("id").alias("first"),
+    ).where("a < b AND n > 3").select("key", "first")
+    open_ = settle(owned.join(mixed, "key").select("id", "component", "first").distinct(), "open")
+    if open_.isEmpty():
+        return found
+    clumps = components(open_.select(F.col("id").alias("u"), F.col("first").alias("v")))
+    held = (
+        open_.select("id", "component").distinct()
+        .join(clumps.select(F.col("node").alias("id"), F.col("component").alias("clump")), "id")
+        .join(sets.select(F.col("doc_id").alias("id"), "shingles"), "id")
+    )
+    held = settle(held, "clumps")
+    blocks = held.groupBy("clump").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum(F.length("shingles")) / (8 * BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    dealt = (
+        held.join(blocks, "clump").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+        .select("clump", "i", "j", "block", "id", "component", "shingles")
+    )
+    more = dealt.groupBy("clump", "i", "j").applyInPandas(_between_blocks, "u long, v long")
+    return settle(components(edges.unionByName(more)), "components")
 
 
 def _link_ids(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:

@@ -89,9 +89,16 @@ def test_no_rows(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("turns", [0, 4])
-def test_open_pairs_alone_give_the_same(spark, sf, monkeypatch, turns):
-    monkeypatch.setattr(minhash, "STAR_ROUNDS", turns)
-    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 120")
-    want = brute.components([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()} == want
+@pytest.mark.parametrize("members", [1_000, 7])
+def test_families_with_few_links(spark, monkeypatch, members):
+    """Copies that share most of a text but are mostly too different from one another."""
+    rng = random.Random(11)
+    base, rows = [f"w{k}" for k in range(150)], []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            w[rng.randrange(150)] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", members)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.components(rows)
