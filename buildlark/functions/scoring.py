@@ -26,11 +26,17 @@ CONSOLE_TAIL_CHARS = 2048
 # ---------------------------------------------------------------------------
 
 
+#: Columns of a verdict.
+VERDICT = ("is_anomaly", "anomaly_score", "confidence", "reason", "model_used")
+
+
 def keyword_verdict(df: DataFrame, text: str) -> DataFrame:
     """Add the verdict of the rule used while no model is trained.
 
-    Adds n_matches, is_anomaly, anomaly_score, confidence, reason and model_used.
+    Adds n_matches, is_anomaly, anomaly_score, confidence, reason and model_used; input columns of
+    these names are replaced.
     """
+    df = df.drop("n_matches", *VERDICT)
     counted = logtext.count_error_matches(df, text)
     n = F.col("n_matches")
     hit = n > 0

@@ -218,8 +218,10 @@ def evaluate(clf: Classifier, rows: DataFrame, text: str = "log_text") -> DataFr
 def score(clf: Classifier | None, rows: DataFrame, text: str = "log_text") -> DataFrame:
     """Add is_anomaly, anomaly_score, confidence, reason and model_used.
 
-    Without a classifier the keyword rule judges.
+    Input columns of these names, such as a label, are replaced. Without a classifier the keyword
+    rule judges.
     """
+    rows = rows.drop(*scoring.VERDICT)
     if clf is None:
         return scoring.keyword_verdict(rows, text).drop("n_matches")
     label = "TF-IDF + templates" if clf.settings.use_templates else "TF-IDF"

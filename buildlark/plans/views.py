@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buildlark.functions import logtext, scoring
-from buildlark.sources.tables import dealt_out, scan
+from buildlark.sources.tables import scan
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id and text of every document."""
-    return dealt_out(table(spark, sf, "documents").select("doc_id", "text"))
+    return table(spark, sf, "documents").select("doc_id", "text")
 
 
 def as_of():
@@ -31,7 +31,7 @@ def as_of():
 
 def event_logs(spark: SparkSession, sf: str) -> DataFrame:
     """Log lines: event_id (line number), ts, job, msg, raw = time stamp + msg."""
-    e = dealt_out(table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "props"))
+    e = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "props")
     num = F.get_json_object("props", "$.k")
     kind, eid = F.col("event_type"), F.col("event_id")
     level = (
@@ -154,7 +154,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 def build_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Build sequences: one row per (build, pos) with its text; every conversation is a build."""
-    return dealt_out(table(spark, sf, "conversations")).select(
+    return table(spark, sf, "conversations").select(
         F.col("conv_id").alias("build"), F.col("turn").alias("pos"), F.col("text").alias("line")
     )
 

@@ -14,16 +14,6 @@ def scan(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame
     return reader.parquet(path)
 
 
-def dealt_out(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than there are cores, dealt to all of them.
-
-    For heavy work per row on few files; a scan with enough splits is left as it is. Only for
-    plain scans: counting the splits of a shuffled plan would run it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def stored_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One of the nine stored tables under ``root``, with its declared schema."""
     return scan(spark, f"{root}/{name}", schemas.TABLES[name])
