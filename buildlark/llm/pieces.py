@@ -15,7 +15,7 @@ import pyarrow as pa
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 #: Parts a Python worker remembers; beyond that it starts anew. Bounds memory, not results.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 
 #: Characters of text that are cut and encoded together.
 AT_ONCE = 1_000_000

@@ -13,7 +13,9 @@ stored is told by its fingerprint.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -147,7 +149,7 @@ def library_encoder(definition: str) -> PartEncoder:
             out = []
             texts = inner + heads
             for k in range(0, len(texts), 5_000):
-                out += [np.array(e.ids, "<u4").tobytes() for e in own.encode_batch_fast(texts[k:k + 5_000], add_special_tokens=False)]
+                out += [array("I", e.ids).tobytes() for e in own.encode_batch_fast(texts[k:k + 5_000], add_special_tokens=False)]
             return out
 
         _encoders[definition] = PartEncoder(encode)
