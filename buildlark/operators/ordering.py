@@ -37,6 +37,14 @@ def quantile_buckets(df: DataFrame, col: str, out: str, cuts: int = CUTS) -> Dat
     return cut.transform(keyed).withColumn(out, F.col(out).cast("int")).drop("_cut_on")
 
 
+def range_buckets(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """Add ``out``: the number of the range of ``order`` a row lies in, which never decreases along it.
+
+    For keys of any orderable type. The rows are written, as the ranges come from a sample.
+    """
+    return settle(df.repartitionByRange(*order).withColumn(out, F.spark_partition_id()), "ranges")
+
+
 def number_rows(
     df: DataFrame,
     group: Sequence[str],

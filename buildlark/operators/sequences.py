@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from buildlark.functions import logtext
 from buildlark.functions.scoring import count_if, ratio
-from buildlark.operators.ordering import number_rows, quantile_buckets, salted_join
+from buildlark.operators.ordering import number_rows, range_buckets
 from buildlark.session import settle
 
 # Fixed values.
@@ -15,7 +15,7 @@ SEQ_LEN = 20
 MAX_TOKENS = 30
 PAD, UNK = 0, 1
 PHASES = 5
-_POS_BLOCK = 100_000
+_BLOCK = 1_000_000  # lines of a build that one join key takes
 
 
 def tokenised(lines: DataFrame) -> DataFrame:
@@ -24,16 +24,17 @@ def tokenised(lines: DataFrame) -> DataFrame:
 
 
 def vocabulary(toks: DataFrame, min_freq: int = 1) -> DataFrame:
-    """(token, n, id): ids from 2 on in order of first appearance over builds and lines."""
+    """(token, n, id): ids from 2 on in order of first appearance over builds and lines.
+
+    Builds may be told by numbers, texts or structs: anything that can be ordered.
+    """
     seen = toks.select("build", "pos", F.posexplode("toks").alias("i", "token"))
     counted = seen.groupBy("token").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("build", "pos", "i")).alias("first")
     ).where(F.col("n") >= min_freq).select("token", "n", "first.*")
     # One row per token from here on; numbering reads them several times.
     counted = settle(counted, "tokens")
-    cut = quantile_buckets(counted, "build", "_q").withColumn(
-        "_bucket", F.struct("_q", F.floor(F.col("pos") / _POS_BLOCK).alias("_b"))
-    )
+    cut = range_buckets(counted, ["build", "pos", "i"], "_bucket")
     numbered = number_rows(cut, [], "_bucket", [F.col("build"), F.col("pos"), F.col("i")], "_no")
     return numbered.select("token", "n", (F.col("_no") + UNK).cast("int").alias("id"))
 
@@ -85,8 +86,11 @@ def encode(toks: DataFrame, vocab: DataFrame) -> DataFrame:
 def phased(lines: DataFrame) -> DataFrame:
     """Add ``phase`` 0..4: the fifth of its build a line lies in, by dense position from 0."""
     sizes = lines.groupBy("build").agg((F.max("pos") + 1).alias("n_lines"))
-    # A build may be a large share of all lines: spread its rows over several join keys.
-    joined = salted_join(lines, sizes, ["build"], F.col("pos"))
+    # A build may be a large share of all lines: one join key per block of it. Small builds have one.
+    last = F.floor((F.col("n_lines") - 1) / _BLOCK)
+    blocks = sizes.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    dealt = lines.withColumn("_block", F.floor(F.col("pos") / _BLOCK))
+    joined = dealt.join(blocks, ["build", "_block"]).drop("_block")
     phase = F.least(F.lit(PHASES - 1), F.floor(F.col("pos") * PHASES / F.col("n_lines")))
     return joined.withColumn("phase", phase.cast("int"))
 

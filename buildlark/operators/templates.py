@@ -13,6 +13,10 @@ and then its own lines, and collects the steps a chunk finds that were not known
 anywhere means that each chunk started from exactly what the sequential method would have had
 there, so the result is the sequential one. Otherwise the earliest unknown steps are added and
 the leaves concerned are gone through again; each round makes at least one more chunk right.
+
+A line with too few words besides wildcards is not similar even to itself: every such line is a
+template of its own, however often it comes, and no line ever joins one. These *loners* change
+nothing for others and are numbered without going through chunks.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from buildlark.functions import logtext
-from buildlark.operators.ordering import number_globally
+from buildlark.operators.ordering import number_globally, number_rows, quantile_buckets
 from buildlark.session import settle
 
 # Fixed values of the method.
@@ -120,21 +124,26 @@ class _Templates:
     def __init__(self, similarity: float) -> None:
         self.similarity = similarity
         self.codes: dict[str, int] = {logtext.WILDCARD: 0}
+        self.words: list[str] = [logtext.WILDCARD]  # by code
         self.rows: np.ndarray | None = None
         self.n = 0
         self.known: dict[str, tuple[int, str]] = {}  # masked line -> answer while nothing changes
 
     def text(self, i: int) -> str:
-        words = list(self.codes)
-        return " ".join(words[c] for c in self.rows[i])
+        return " ".join(self.words[c] for c in self.rows[i])
+
+    def code(self, word: str) -> int:
+        known = self.codes.setdefault(word, len(self.words))
+        if known == len(self.words):
+            self.words.append(word)
+        return known
 
     def take(self, masked: str) -> tuple[int, str, bool]:
         """Template number and text for a line, and whether the line was a step."""
         hit = self.known.get(masked)
         if hit is not None:
             return hit[0], hit[1], False
-        codes = self.codes
-        line = np.array([codes.setdefault(t, len(codes)) for t in masked.split(" ")], dtype=np.int64)
+        line = np.array([self.code(t) for t in masked.split(" ")], dtype=np.int64)
         best = self._closest(line)
         if best < 0:
             if self.rows is None:
@@ -219,29 +228,33 @@ def _final_templates(similarity: float):
 # ---------------------------------------------------------------------------
 # Mining
 # ---------------------------------------------------------------------------
-_STEP = "leaf string, pos long, masked string"
+# ``_rank`` is a line's place in its leaf, from 1 on: chunks hold equally many lines whatever the
+# positions are (negative, far apart, hashes). Steps of an earlier run have rank 0.
+_STEP = "leaf string, pos long, _rank long, masked string"
+_STEP_COLUMNS = ("leaf", "pos", "_rank", "masked")
+
+
+def _chunk(width: int) -> Column:
+    return F.floor((F.col("_rank") - 1) / F.lit(width))
 
 
 def _guess_steps(lines: DataFrame, similarity: float, chunk_lines: int) -> DataFrame:
     """Steps of the distinct lines in order of first appearance, merged chunk by chunk."""
-    firsts = lines.groupBy("leaf", "masked").agg(F.min("pos").alias("pos")).select("leaf", "pos", "masked")
-    lo, hi = lines.agg(F.min("pos"), F.max("pos")).first()
-    if lo is None:
-        return firsts
+    out = lines.groupBy("leaf", "masked").agg(F.min("pos").alias("pos"), F.min("_rank").alias("_rank"))
+    out = out.select(*_STEP_COLUMNS)
+    most = lines.agg(F.max("_rank")).first()[0] or 0
     own = _own_steps(similarity)
     width = chunk_lines
-    out = firsts
     while True:
-        chunk = F.floor(F.col("pos") / F.lit(width)).alias("chunk")
-        out = out.groupBy("leaf", chunk).applyInPandas(own, _STEP)
-        if lo // width == hi // width:
+        out = out.groupBy("leaf", _chunk(width).alias("chunk")).applyInPandas(own, _STEP)
+        if most <= width:
             return out
         width *= FAN_IN
 
 
 def _work(lines: DataFrame, steps: DataFrame, similarity: float, chunk_lines: int, carry) -> DataFrame:
     """Work through every chunk of ``lines`` from the steps known so far."""
-    chunk = F.floor(F.col("pos") / F.lit(chunk_lines))
+    chunk = _chunk(chunk_lines)
     cut = lines.withColumn("chunk", chunk)
     chunks = cut.select("leaf", "chunk").distinct()
     for_chunk = (
@@ -250,7 +263,7 @@ def _work(lines: DataFrame, steps: DataFrame, similarity: float, chunk_lines: in
         .where("step_chunk <= chunk")
         .select(F.col("leaf").alias("step_leaf"), F.col("chunk").alias("for_chunk"), "step_pos", "masked")
     )
-    columns = ["leaf", "pos", "masked", *carry, "cluster", "template_online", "unknown_step"]
+    columns = [*_STEP_COLUMNS, *carry, "cluster", "template_online", "unknown_step"]
     types = dict(lines.dtypes) | {"cluster": "int", "template_online": "string", "unknown_step": "boolean"}
     schema = ", ".join(f"`{c}` {types[c]}" for c in columns)
     return (
@@ -260,6 +273,12 @@ def _work(lines: DataFrame, steps: DataFrame, similarity: float, chunk_lines: in
     )
 
 
+def _is_loner(similarity: float) -> Column:
+    toks = F.split("masked", " ")
+    words = F.size(F.filter(toks, lambda t: t != logtext.WILDCARD))
+    return words / F.size(toks).cast("double") < similarity
+
+
 def mine(
     lines: DataFrame,
     carry: Sequence[str] = (),
@@ -283,19 +302,26 @@ def mine(
     text = logtext.without_timestamp(raw) if strip_timestamp else raw
     base = lines.select("pos", *carry, masked_line(text).alias("masked"))
     old_steps, old_branches = prior if prior else (None, None)
-    routed, branches = with_leaf(settle(base, "masked"), depth, max_children, old_branches)
-    routed = settle(routed, "routed")
+    masked = quantile_buckets(settle(base, "masked"), "pos", "_bucket")
+    routed, branches = with_leaf(masked, depth, max_children, old_branches)
+    ranked = number_rows(routed, ["leaf"], "_bucket", [F.col("pos")], "_rank").drop("_bucket")
+    routed = settle(ranked, "routed")
     branches = settle(branches, "branches")
 
-    steps = _guess_steps(routed, similarity, chunk_lines).select("leaf", "pos", "masked")
+    own_lines, routed = routed.where(_is_loner(similarity)), routed.where(~_is_loner(similarity))
+    loners = own_lines.select("leaf", "pos", "masked")
+
+    steps = _guess_steps(routed, similarity, chunk_lines)
     if old_steps is not None:
-        steps = old_steps.select("leaf", "pos", "masked").unionByName(steps)
+        loners = loners.unionByName(old_steps.where(_is_loner(similarity)).select("leaf", "pos", "masked"))
+        old_steps = old_steps.where(~_is_loner(similarity))
+        steps = old_steps.select("leaf", "pos", F.lit(0).cast("long").alias("_rank"), "masked").unionByName(steps)
     steps = settle(steps, "steps")
 
     open_lines, settled = routed, None
     while True:
         out = settle(_work(open_lines, steps, similarity, chunk_lines, carry), "worked")
-        unknown = out.where("unknown_step").select("leaf", "pos", "masked")
+        unknown = out.where("unknown_step").select(*_STEP_COLUMNS)
         leaves = settle(unknown.select("leaf").distinct(), "open")
         done = out.join(leaves, "leaf", "left_anti").drop("unknown_step")
         settled = done if settled is None else settled.unionByName(done)
@@ -310,12 +336,17 @@ def mine(
 
     found = steps.groupBy("leaf").applyInPandas(
         _final_templates(similarity), "leaf string, cluster int, template string, first_pos long"
-    )
+    ).unionByName(loners.select(
+        "leaf", F.lit(-1).alias("cluster"), F.col("masked").alias("template"), F.col("pos").alias("first_pos")
+    ))
     numbered = settle(number_globally(found, "first_pos", "_no"), "templates").withColumn(
         "event_id", logtext.event_id(F.col("_no") - 1)
     ).drop("_no")
     named = settled.join(numbered.select("leaf", "cluster", "event_id", "template"), ["leaf", "cluster"])
-    return Mined(named, numbered, steps, branches)
+    own_ids = numbered.where("cluster = -1").select("cluster", F.col("first_pos").alias("pos"), "event_id", "template")
+    alone = own_lines.withColumn("template_online", F.col("masked")).join(own_ids, "pos")
+    every = named.unionByName(alone).drop("_rank")
+    return Mined(every, numbered, steps.drop("_rank").unionByName(loners), branches)
 
 
 def summarise(

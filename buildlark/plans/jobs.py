@@ -16,6 +16,7 @@ from buildlark.operators import predict as P
 from buildlark.operators import rollups as R
 from buildlark.operators import tables, training_run
 from buildlark.plans import views
+from buildlark.plans.mining_sql import sql_mined
 from buildlark.plans.registry import query
 from buildlark.plans.rollups import _HOURLY, _hourly
 from buildlark.plans.views import with_views
@@ -415,7 +416,7 @@ def follow_builds(spark, sf):
     )
 
 
-@query("st2_mine_stream")
+@query("st2_mine_stream", with_views(f"WITH {sql_mined('msg')} SELECT pos, event_id, template_online FROM mined"))
 def mine_stream(spark, sf):
     lines = views.event_logs(spark, sf).select(F.col("event_id").alias("pos"), F.col("msg").alias("raw"))
     folder = _landed(lines, "lines")

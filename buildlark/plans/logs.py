@@ -11,6 +11,7 @@ from buildlark.operators import rollups as R
 from buildlark.operators import sequences as S
 from buildlark.operators import templates as TM
 from buildlark.plans import views
+from buildlark.plans.mining_sql import sql_mined
 from buildlark.plans.registry import query
 from buildlark.plans.scalars import sql_mask, sql_sequence_tokens, sql_tfidf_text, sql_tokens
 from buildlark.plans.views import with_views
@@ -41,31 +42,39 @@ def event_numbers(spark, sf):
 SELECT node, key, first_pos FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY first_pos, key) AS r FROM (
   SELECT cast(len(t) AS varchar) AS node, CASE WHEN regexp_matches(t[2], '[0-9]') THEN '<*>' ELSE t[2] END AS key, min(event_id) AS first_pos
   FROM (SELECT event_id, regexp_split_to_array(regexp_replace(msg, 'svc-1[0-4]', 'svc-x', 'g'), '[ -]') AS t FROM event_logs) GROUP BY 1, 2))
-WHERE r <= 2"""))
+WHERE r <= 100"""))
 def first_branch_keys(spark, sf):
-    """The first two branch keys per token count, on the second token of lines cut at blanks and dashes."""
+    """The first hundred branch keys per token count, on the second token of lines cut at blanks and dashes."""
     text = F.regexp_replace("raw", "svc-1[0-4]", "svc-x")
     t = F.split(text, "[ -]")
     keyed = _lines(spark, sf).select(
         "pos", F.size(t).cast("string").alias("node"), logtext.branch_key(F.get(t, F.lit(1))).alias("key")
     )
-    return TM.first_keys(keyed, "node", "key", "pos", 2)
+    return TM.first_keys(keyed, "node", "key", "pos", TM.MAX_CHILDREN)
 
 
-@query("min1_mine_templates")
+@query("min1_mine_templates", with_views(f"WITH {sql_mined('raw')} SELECT pos, event_id, template_online, template FROM mined"))
 def mine_templates(spark, sf):
     """Event id and template of every stamped line."""
     return TM.mine(_lines(spark, sf, "raw")).lines.select("pos", "event_id", "template_online", "template")
 
 
-@query("min1_mine_templates_unstamped")
+@query("min1_mine_templates_unstamped", with_views(f"WITH {sql_mined('msg')} SELECT pos, event_id, template_online, template FROM mined"))
 def mine_unstamped(spark, sf):
     """The same with the time stamps taken off first."""
     mined = TM.mine(_lines(spark, sf, "raw"), strip_timestamp=True)
     return mined.lines.select("pos", "event_id", "template_online", "template")
 
 
-@query("min2_parse_batch")
+@query("min2_parse_batch", with_views(rf"""
+WITH {sql_mined('raw')},
+timed AS (SELECT *, epoch_us(date_trunc('second', ts)) AS us FROM event_logs)
+SELECT m.pos, e.job, e.raw, m.template_online AS template, m.template AS final_template, m.event_id,
+  array_to_string(list_transform(list_filter(range(1, len(m.t) + 1), lambda i: m.template_tokens[i] = '<*>' AND m.t[i] <> '<*>'), lambda i: m.t[i]), ' ') AS parameters,
+  CASE split_part(e.msg, ' ', 1) WHEN 'WARN' THEN 'WARNING' ELSE split_part(e.msg, ' ', 1) END AS log_level,
+  nullif(regexp_extract(e.raw, '\[([A-Za-z][\w\-\.]{{1,63}})\]', 1), '') AS service, e.us AS timestamp,
+  (e.us - lag(e.us) OVER (PARTITION BY e.job ORDER BY m.pos)) / 1000000.0e0 AS timestamp_delta_sec
+FROM mined m JOIN timed e ON e.event_id = m.pos"""))
 def parse_batch(spark, sf):
     lines = views.event_logs(spark, sf).select(F.col("event_id").alias("pos"), F.col("raw"), "job")
     recs = TM.parse_batch(lines, source="job")
@@ -92,7 +101,12 @@ def assign_templates(spark, sf):
     return TM.assign(masked, templates, branches).select("pos", "event_id")
 
 
-@query("ag13_template_frequency")
+@query("ag13_template_frequency", with_views(f"""
+WITH {sql_mined('msg')},
+top AS (SELECT event_id, any_value(template) AS template, count(*) AS count, min(first_pos) AS f FROM mined GROUP BY 1 ORDER BY count DESC, f LIMIT 25),
+shown AS (SELECT m.event_id, m.pos, e.msg, row_number() OVER (PARTITION BY m.event_id ORDER BY m.pos) AS r FROM mined m JOIN event_logs e ON e.event_id = m.pos)
+SELECT top.event_id, template, count, examples FROM top
+JOIN (SELECT event_id, string_agg(msg, '|' ORDER BY pos) AS examples FROM shown WHERE r <= 3 GROUP BY 1) x ON x.event_id = top.event_id"""))
 def template_frequency(spark, sf):
     lines = _lines(spark, sf)
     mined = TM.mine(lines)
@@ -155,16 +169,16 @@ def _feature_lines(spark, sf):
     return base.select("*", *[c.alias(n) for n, c in nums.items()])
 
 
-@query("jn3_template_slots", with_views(f"WITH {_slots_sql(3, 5)} SELECT pos, tmpl_idx FROM placed"))
+@query("jn3_template_slots", with_views(f"WITH {_slots_sql(200, 32)} SELECT pos, tmpl_idx FROM placed"))
 def template_slots(spark, sf):
     lines = _feature_lines(spark, sf)
-    return FT.with_slots(lines, FT.slots(lines, 3, 5)).select("pos", "tmpl_idx")
+    return FT.with_slots(lines, FT.slots(lines)).select("pos", "tmpl_idx")
 
 
-@query("jn4_service_slots", with_views(f"WITH {_slots_sql(3, 5)} SELECT pos, svc_idx FROM placed"))
+@query("jn4_service_slots", with_views(f"WITH {_slots_sql(200, 32)} SELECT pos, svc_idx FROM placed"))
 def service_slots(spark, sf):
     lines = _feature_lines(spark, sf)
-    return FT.with_slots(lines, FT.slots(lines, 3, 5)).select("pos", "svc_idx")
+    return FT.with_slots(lines, FT.slots(lines)).select("pos", "svc_idx")
 
 
 @query("fea1_structured_features", with_views(f"""
@@ -221,17 +235,17 @@ vocab AS (SELECT token, n, cast(row_number() OVER (ORDER BY f) + 1 AS integer) A
   (SELECT token, count(*) AS n, min((build, pos, i)) AS f FROM flat GROUP BY 1 HAVING count(*) >= {min_freq}))"""
 
 
-@query("ag16_token_vocabulary", with_views(f"WITH {_vocab_sql('conversations', 'text', 'conv_id', 'turn', 2)} SELECT token, n, id FROM vocab"))
+@query("ag16_token_vocabulary", with_views(f"WITH {_vocab_sql('conversations', 'text', 'conv_id', 'turn')} SELECT token, n, id FROM vocab"))
 def token_vocabulary(spark, sf):
-    return S.vocabulary(S.tokenised(views.build_lines(spark, sf)), min_freq=2)
+    return S.vocabulary(S.tokenised(views.build_lines(spark, sf)))
 
 
 @query("jn2_token_ids", with_views(f"""
-WITH {_vocab_sql('build_events', 'line', 'build', 'pos', 200)} SELECT build, pos, i - 1 AS i, token, coalesce(id, 1) AS id FROM flat LEFT JOIN vocab USING (token)"""))
+WITH {_vocab_sql('build_events', 'line', 'build', 'pos')} SELECT build, pos, i - 1 AS i, token, coalesce(id, 1) AS id FROM flat LEFT JOIN vocab USING (token)"""))
 def token_ids(spark, sf):
     toks = S.tokenised(views.build_events(spark, sf))
     flat = toks.select("build", "pos", F.posexplode("toks").alias("i", "token"))
-    out = S.token_ids(flat, S.vocabulary(toks, min_freq=200))
+    out = S.token_ids(flat, S.vocabulary(toks))
     return out.select("build", "pos", F.col("i").cast("bigint").alias("i"), "token", "id")
 
 

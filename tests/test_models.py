@@ -126,6 +126,28 @@ def test_sequence_vocabulary_and_encoding(spark):
     assert ids[1][0] == [3, 1] + [4] * 28
 
 
+@pytest.mark.parametrize("kind", ["string", "struct<job:string,number:int>"])
+def test_builds_told_by_texts_or_structs(spark, kind):
+    def key(n):
+        return f"job-{n}" if kind == "string" else ("job", n)
+
+    rows = [(key(2), 0, "late words"), (key(1), 0, "first line"), (key(1), 1, "line two")]
+    lines = spark.createDataFrame(rows, f"build {kind}, pos long, line string")
+    toks = sequences.tokenised(lines)
+    vocab = sequences.vocabulary(toks)
+    assert {r.token: r.id for r in vocab.collect()} == {"first": 2, "line": 3, "two": 4, "late": 5, "words": 6}
+    assert sequences.encode(toks, vocab).count() == 2
+    assert sequences.escalation(lines).count() == 2
+
+
+def test_long_builds_are_joined_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sequences, "_BLOCK", 3)
+    rows = [(b, p, "INFO fine") for b, n in ((0, 11), (1, 1), (2, 3)) for p in range(n)]
+    out = sequences.phased(spark.createDataFrame(rows, "build long, pos long, line string")).collect()
+    assert sorted((r.build, r.pos, r.n_lines, r.phase) for r in out) == [
+        (b, p, n, min(4, p * 5 // n)) for b, n in ((0, 11), (1, 1), (2, 3)) for p in range(n)]
+
+
 def test_escalation_sees_late_errors(spark):
     rows = [(b, p, "ERROR failed" if b == 1 and p >= 15 else "INFO fine") for b in (0, 1) for p in range(20)]
     df = spark.createDataFrame(rows, "build long, pos long, line string")
@@ -135,7 +157,7 @@ def test_escalation_sees_late_errors(spark):
 
 
 def test_forecast(spark):
-    fail = [0, 1, 0, 2, 1, 5, 3, 2, 1, 0, 3, 2, 1, 0, 4]
+    fail = [2, 4, 1, 6, 3, 3, 7, 2, 5, 4, 8, 1, 6, 5, 9, 3, 7]
     rows = [("a", i, v) for i, v in enumerate(fail)] + [("short", i, 1) for i in range(9)]
     rows += [("flat", i, 3) for i in range(12)] + [("neg", i, v) for i, v in enumerate([-1] + [2] * 11)]
     got = {r.s: r for r in forecast.forecast(spark.createDataFrame(rows, "s string, hour int, failures int"), "s").collect()}
@@ -156,12 +178,13 @@ def test_forecast_recovers_a_known_process():
     assert sigma == pytest.approx(1.0, abs=0.05) and abs(mean - x[-1]) < 4
 
 
-def test_class_report_and_confusion_on_ten_rows(spark):
-    y = [0, 1, 0, 1, 1, 0, 1, 0, 0, 1]
-    s = [.1, .85, .2, .9, .75, .3, .8, .25, .15, .95]
+def test_confusion_and_area_of_rows_told_apart(spark):
+    y = [i % 3 == 0 for i in range(12)]
+    s = [0.6 + i / 40 if bad else i / 40 for i, bad in enumerate(y)]
+    y = [int(bad) for bad in y]
     df = spark.createDataFrame([(a, b, int(b > .5)) for a, b in zip(y, s)], "label int, score double, prediction int")
     c = metrics.confusion(df, "label", "prediction").first()
-    assert (c.tp, c.tn, c.fp, c.fn, c.specificity) == (5, 5, 0, 0, 1.0)
+    assert (c.tp, c.tn, c.fp, c.fn, c.specificity) == (4, 8, 0, 0, 1.0)
     from buildlark.operators.curves import auc
     assert auc(df).first().auc == 1.0
 

@@ -66,6 +66,24 @@ def test_same_as_one_by_one(spark, monkeypatch, seed, chunk, children):
     assert templates == {f"E{i:05d}": t for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("kind", ["negative", "sparse", "hashed"])
+def test_positions_of_any_kind(spark, kind):
+    rnd = random.Random(11)
+    words = ["alpha", "beta", "gamma", "delta", W]
+    lines = [" ".join(rnd.choice(words) for _ in range(rnd.choice([4, 5]))) for _ in range(150)]
+    at = {
+        "negative": lambda: range(-75, 75),
+        "sparse": lambda: range(0, 150 * 10**12, 10**12),
+        "hashed": lambda: sorted(rnd.randrange(-2**63, 2**63) for _ in range(150)),
+    }[kind]()
+    df = spark.createDataFrame(list(zip(at, lines)), "pos long, raw string")
+    want, texts = one_by_one(lines)
+    m = tm.mine(df, chunk_lines=12)
+    rows = sorted(m.lines.select("pos", "event_id", "template_online").collect())
+    assert [(int(r.event_id[1:]), r.template_online) for r in rows] == want
+    assert sorted(r.template for r in m.templates.collect()) == sorted(texts)
+
+
 def test_mining_goes_on_from_a_prior_run(spark):
     rnd = random.Random(9)
     words = ["alpha", "beta", "gamma", "delta", W]
@@ -79,6 +97,17 @@ def test_mining_goes_on_from_a_prior_run(spark):
     assert sorted(r.template for r in b.templates.collect()) == sorted(texts)
 
 
+def test_a_line_of_few_words_is_a_template_each_time(spark):
+    lines = ["7 8 9", "Disk 4 5", "7 8 9", "7 8 9", "Disk 4 5"]
+    want, _ = one_by_one(["<*> <*> <*>", "Disk <*> <*>", "<*> <*> <*>", "<*> <*> <*>", "Disk <*> <*>"])
+    rows, templates, m = mined(spark, lines, chunk_lines=2)
+    assert [int(r.event_id[1:]) for r in rows] == [w[0] for w in want] == [0, 1, 2, 3, 4]
+    assert templates["E00003"] == "<*> <*> <*>"
+    more = spark.createDataFrame([(9, "7 8 9")], "pos long, raw string")
+    b = tm.mine(more, prior=(m.steps, m.branches))
+    assert [r.event_id for r in b.lines.collect()] == ["E00005"] and b.templates.count() == 6
+
+
 def test_numbers_and_quantities_share_an_event(spark):
     rows, templates, _ = mined(spark, [
         "ERROR [db] Database connection timeout after 30s", "ERROR [api] Database connection timeout after 60s"])
