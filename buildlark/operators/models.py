@@ -65,6 +65,7 @@ class Classifier:
     branches: DataFrame | None = None
     cv: DataFrame | None = None
     settings: Settings = field(default_factory=Settings)
+    folds: DataFrame | None = None
 
 
 def stratified(rows: DataFrame, label: str, key: str, seed: int, out: str, parts: int = FOLDS) -> DataFrame:
@@ -194,7 +195,7 @@ def train(rows: DataFrame, text: str = "log_text", settings: Settings | None = N
     # Every fit reads the vectors again, so they are written once.
     ready = settle(featurise(dealt, text, clf).select("id", "label", "fold", "features"), "vectors")
     folds = settle(cross_validate(ready, s.models, s), "folds")
-    clf.cv = M.cv_summary(folds, ["model_name"])
+    clf.folds, clf.cv = folds, M.cv_summary(folds, ["model_name"])
     clf.best = best_model(clf.cv).first()["model_name"]
     fitted = _each(list(s.models), lambda name: _fit(name, ready, s), s.parallelism)
     clf.models = dict(zip(s.models, fitted))

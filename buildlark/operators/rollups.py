@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from buildlark.functions import scoring, times
 from buildlark.functions.scoring import count_if, ratio
+from buildlark.sources.tables import newer_than
 
 
 def side_by_side(*singles: DataFrame) -> DataFrame:
@@ -66,11 +67,18 @@ def weekday_trend(predictions: DataFrame, as_of: Column, days: int = 7) -> DataF
     )
 
 
-def accuracy_trend(verified: DataFrame) -> DataFrame:
+#: Days that the trends look back.
+TREND_DAYS = 30
+
+
+def accuracy_trend(verified: DataFrame, as_of: Column | None = None, days: int = TREND_DAYS) -> DataFrame:
     """Correct share per day; precision and recall from the verified rows.
 
+    With ``as_of``, of the ``days`` days up to it; otherwise of all days.
     ``precision_ref`` and ``recall_ref`` are fixed multiples of the accuracy, kept for parity.
     """
+    if as_of is not None:
+        verified = newer_than(verified, "predicted_at", as_of, days)
     pred, actual = F.col("predicted_anomaly"), F.col("actual_anomaly")
     daily = verified.groupBy(times.day_key(F.col("predicted_at")).alias("day")).agg(
         F.count(F.lit(1)).alias("total_predictions"),
@@ -92,7 +100,10 @@ def accuracy_trend(verified: DataFrame) -> DataFrame:
     ).orderBy("day")
 
 
-def anomaly_rate_trend(predictions: DataFrame) -> DataFrame:
+def anomaly_rate_trend(predictions: DataFrame, as_of: Column | None = None, days: int = TREND_DAYS) -> DataFrame:
+    """Share of anomalies per day; with ``as_of``, of the ``days`` days up to it, otherwise of all days."""
+    if as_of is not None:
+        predictions = newer_than(predictions, "created_at", as_of, days)
     daily = predictions.groupBy(times.day_key(F.col("created_at")).alias("day")).agg(
         F.count(F.lit(1)).alias("total_predictions"),
         count_if(F.col("is_anomaly")).alias("anomalies_detected"),

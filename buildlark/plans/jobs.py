@@ -24,8 +24,6 @@ from buildlark.session import new_table_path, settle
 from buildlark.sources.tables import stored_table
 from buildlark.streaming import streams as ST
 
-# Short training so that the whole set of queries runs in minutes; the defaults are longer.
-QUICK = ML.Settings(lr_iterations=100, rf_trees=20, rf_depth=6, gbt_rounds=10, gbt_depth=4)
 RUN_AT = "2024-02-01 12:00:00"
 
 _runs: dict[tuple[str, str], training_run.Run] = {}
@@ -47,7 +45,7 @@ def _run(spark: SparkSession, sf: str) -> training_run.Run:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _runs:
         _runs[key] = training_run.train_models(
-            views.labelled_lines(spark, sf), _at(), QUICK,
+            views.labelled_lines(spark, sf), _at(), ML.Settings(),
             settle(views.build_events(spark, sf), "build-lines"), settle(_build_labels(spark, sf), "build-labels"),
             root=new_table_path(spark, "metrics"),
         )
@@ -63,13 +61,8 @@ def train(spark, sf):
 
 @query("ml2_cross_validate")
 def cross_validate(spark, sf):
-    """Figures per fold of a linear model on TF-IDF features alone."""
-    s = ML.Settings(models=(ML.LR,), lr_iterations=50, use_templates=False)
-    rows = views.labelled_lines(spark, sf).withColumn("label", F.col("is_anomaly").cast("int"))
-    space, templates, branches = ML.fit_features(rows, "log_text", s)
-    clf = ML.Classifier(space, {}, "", templates, branches, None, s)
-    ready = settle(ML.featurise(ML.stratified(rows, "label", "id", ML.SEED, "fold"), "log_text", clf), "vectors")
-    return ML.cross_validate(ready, s.models, s)
+    """Figures of every model on each of the five folds, templates included."""
+    return _run(spark, sf).classifier.folds
 
 
 @query("ml3_evaluate")
@@ -118,8 +111,8 @@ def feature_name_join(spark, sf):
 
 @query("tk6_top_contributions")
 def top_contributions(spark, sf):
-    contribs, names = _contributions(spark, sf)
-    return X.top_features(contribs, "id", names).select("id", F.to_json("shap_explanation").alias("explanation"))
+    out = X.explain(_run(spark, sf).classifier, views.labelled_lines(spark, sf), "id")
+    return out.select("id", F.to_json("shap_explanation").alias("explanation"))
 
 
 @query("xpl1_explain")
@@ -191,11 +184,11 @@ r AS (SELECT *, confidence * 0.6e0 + CASE WHEN predicted_failures > 3 THEN 0.4e0
 risked AS (SELECT *, CASE WHEN raw_risk > 0.7e0 THEN 'HIGH' WHEN raw_risk > 0.4e0 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM r)"""
 
 
-def _scored(spark, sf, clf=None) -> DataFrame:
+def _scored(spark, sf) -> DataFrame:
     ahead = views.event_logs(spark, sf).groupBy(F.col("job").alias("pipeline_id")).agg(
         (F.count(F.lit(1)) % 7).cast("int").alias("predicted_failures")
     )
-    return P.score_logs(_requests(spark, sf), clf, ahead)
+    return P.score_logs(_requests(spark, sf), None, ahead)
 
 
 @query("pip1_score_logs", with_views(f"""
@@ -211,10 +204,12 @@ def score_logs(spark, sf):
 
 @query("pip1_score_logs_with_model")
 def score_logs_with_model(spark, sf):
-    """The whole job with a trained model: event ids, verdicts, risk and explanations."""
+    """The whole job with a trained model and fitted forecasts: event ids, verdicts, risk and explanations."""
     clf = _run(spark, sf).classifier
-    out = P.parse_first_lines(_scored(spark, sf, clf), "logs", clf)
-    return out.select("id", "pipeline_id", "is_anomaly", "confidence", "risk_level", "model_used",
+    ahead = FC.forecast(_hourly(spark, sf), "job").withColumnRenamed("job", "pipeline_id")
+    out = P.parse_first_lines(P.score_logs(_requests(spark, sf), clf, ahead), "logs", clf)
+    return out.select("id", "pipeline_id", "is_anomaly", "confidence", "predicted_failures",
+                      "failure_lower_bound", "failure_upper_bound", "risk_level", "model_used",
                       "parsed.event_id", "parsed.template", F.to_json("shap_explanation").alias("explanation"))
 
 

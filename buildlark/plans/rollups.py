@@ -17,6 +17,9 @@ from buildlark.plans.views import AS_OF, with_views
 from buildlark.sources import payloads
 from buildlark.sources import tables as T
 
+# The trend of orders looks back from the day after the last one.
+ORDERS_AS_OF = "2001-08-02 00:00:00"
+
 # Non-blank lines as DuckDB sees them: the same line breaks and the same white space.
 _WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _SPLIT = r"regexp_split_to_array(text, '\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]')"
@@ -313,7 +316,7 @@ def weekday_trend(spark, sf):
     return R.weekday_trend(views.predictions(spark, sf), views.as_of())
 
 
-@query("ag4_accuracy_trend", with_views("""
+@query("ag4_accuracy_trend", with_views(f"""
 SELECT day, accuracy, accuracy * 1.05e0 AS precision_ref, accuracy * 0.95e0 AS recall_ref,
   coalesce(tp / nullif(tp + fp, 0), 0.0e0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0.0e0) AS recall,
   total_predictions, correct_predictions
@@ -323,17 +326,18 @@ FROM (SELECT *, cast(correct_predictions AS double) / total_predictions AS accur
     cast(count(*) FILTER (predicted_anomaly AND actual_anomaly) AS double) AS tp,
     cast(count(*) FILTER (predicted_anomaly AND NOT actual_anomaly) AS double) AS fp,
     cast(count(*) FILTER (NOT predicted_anomaly AND actual_anomaly) AS double) AS fn
-  FROM prediction_analytics GROUP BY 1))"""))
+  FROM prediction_analytics WHERE predicted_at >= TIMESTAMP '{ORDERS_AS_OF}' - INTERVAL 30 DAY GROUP BY 1))"""))
 def accuracy_trend(spark, sf):
-    return R.accuracy_trend(views.prediction_analytics(spark, sf))
+    return R.accuracy_trend(views.prediction_analytics(spark, sf), F.lit(ORDERS_AS_OF).cast("timestamp_ntz"))
 
 
-@query("ag5_anomaly_rate_trend", with_views("""
+@query("ag5_anomaly_rate_trend", with_views(f"""
 SELECT day, total_predictions, anomalies_detected, anomalies_detected / total_predictions * 100 AS anomaly_rate
 FROM (SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS total_predictions,
-  count_if(is_anomaly) :: bigint AS anomalies_detected FROM predictions GROUP BY 1)"""))
+  count_if(is_anomaly) :: bigint AS anomalies_detected FROM predictions
+  WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY GROUP BY 1)"""))
 def anomaly_rate_trend(spark, sf):
-    return R.anomaly_rate_trend(views.predictions(spark, sf))
+    return R.anomaly_rate_trend(views.predictions(spark, sf), views.as_of())
 
 
 @query("ag6_alert_effectiveness", with_views("""

@@ -65,6 +65,7 @@ def test_train_needs_fifty_rows(lines):
 def test_cross_validation_and_best_model(clf):
     cv = {r.model_name: r for r in clf.cv.collect()}
     assert set(cv) == set(models.MODEL_ORDER)
+    assert clf.folds.count() == models.FOLDS * len(models.MODEL_ORDER)
     assert all(0 <= r.cv_f1_mean <= 1 for r in cv.values())
     assert clf.best == max(models.MODEL_ORDER, key=lambda n: cv[n].cv_f1_mean)
 
@@ -93,6 +94,26 @@ def test_contributions_add_up_to_the_forest(clf, lines, spark):
         assert got[k] == pytest.approx(v, abs=1e-9)
 
 
+def test_contributions_equal_a_walk_by_hand(clf, lines, spark):
+    ready = models.featurise(lines, "log_text", clf).select("id", "features")
+    trees = explain._trees(explain.node_table(spark, clf.models[models.RF]))
+    want = {}
+    for r in ready.collect():
+        have = {int(i): float(v) for i, v in zip(r.features.indices, r.features.values)}
+        credit = dict.fromkeys(have, 0.0)
+        for t in trees:
+            at = 0
+            while t["left"][at] >= 0:
+                f = int(t["feature"][at])
+                below = t["left"][at] if have.get(f, 0.0) <= t["threshold"][at] else t["right"][at]
+                credit[f] = credit.get(f, 0.0) + (t["share"][below] - t["share"][at]) / len(trees)
+                at = below
+        want |= {(r.id, f): (c, have.get(f, 0.0)) for f, c in credit.items()}
+    got = {(r.id, r.idx): (r.contribution, r.value) for r in explain.contributions(ready, "id", trees).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
 def test_explanation_shape(clf, lines):
     out = explain.explain(clf, lines, "id").collect()
     assert len(out) == 120
