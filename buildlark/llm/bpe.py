@@ -27,6 +27,8 @@ NONE = np.iinfo(np.int64).max
 #: Pieces of more bytes than this are merged one by one.
 TOGETHER = 64
 ROWS = 20_000
+#: Parts a worker remembers. Workers live on into later stages, where what they hold is missed.
+REMEMBERED = 150_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -241,7 +243,7 @@ def encoder(ranks_file: bytes, pattern: str) -> tuple[Bpe, PartEncoder]:
     key = (hash(ranks_file), pattern)
     if key not in _made:
         bpe = Bpe(read_ranks(ranks_file), pattern)
-        _made[key] = bpe, PartEncoder(bpe.encode_parts)
+        _made[key] = bpe, PartEncoder(bpe.encode_parts, REMEMBERED)
     return _made[key]
 
 

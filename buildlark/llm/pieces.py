@@ -40,15 +40,15 @@ class PartEncoder:
     """Encode texts part by part, each different part once as long as it is remembered.
 
     ``encode_parts(inner, heads)`` gets parts with what stands before them and first parts; it
-    returns the little-endian 32-bit ids of each.
+    returns the little-endian 32-bit ids of each. ``remembered`` parts are kept at most between calls.
     """
 
-    def __init__(self, encode_parts: Callable[[list[str], list[str]], list[bytes]]):
-        self.encode_parts = encode_parts
+    def __init__(self, encode_parts: Callable[[list[str], list[str]], list[bytes]], remembered: int = REMEMBERED):
+        self.encode_parts, self.remembered = encode_parts, remembered
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known.clear()
         known = self.known
         look, new, held = known.get, set(), []
