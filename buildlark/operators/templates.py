@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from buildlark.functions import logtext
-from buildlark.operators.ordering import number_globally, number_rows, quantile_buckets
+from buildlark.operators.ordering import number_globally, number_rows, quantile_buckets, salted_join
 from buildlark.session import settle
 
 # Fixed values of the method.
@@ -42,6 +42,7 @@ EXAMPLES = 3
 CHUNK_LINES = 200_000  # lines of one leaf that one task works through
 FAN_IN = 64  # chunks whose step guesses are merged by one task
 STEPS_PER_ROUND = 4096  # unknown steps per leaf taken up in one round; the next rounds take the rest
+BLOCK = 1024  # stored templates, or distinct lines, of one key that are compared in one piece
 _SEP = "\x1f"
 
 
@@ -273,8 +274,8 @@ def _work(lines: DataFrame, steps: DataFrame, similarity: float, chunk_lines: in
     )
 
 
-def _is_loner(similarity: float) -> Column:
-    toks = F.split("masked", " ")
+def _is_loner(similarity: float, text: str = "masked") -> Column:
+    toks = F.split(text, " ")
     words = F.size(F.filter(toks, lambda t: t != logtext.WILDCARD))
     return words / F.size(toks).cast("double") < similarity
 
@@ -409,6 +410,35 @@ def parse_batch(
 # ---------------------------------------------------------------------------
 # Assigning lines to templates that are already there
 # ---------------------------------------------------------------------------
+def _places(templates: DataFrame, wide: DataFrame) -> DataFrame:
+    """(leaf, places) of wide leaves: the word positions, those with most different words first."""
+    words = templates.join(wide, "leaf", "left_semi").select("leaf", F.posexplode(F.split("template", " ")).alias("at", "word"))
+    kinds = words.where(F.col("word") != logtext.WILDCARD).groupBy("leaf", "at").agg(F.approx_count_distinct("word").alias("n"))
+    return kinds.groupBy("leaf").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "at"))), lambda k: k["at"]).alias("places"))
+
+
+def _fewest(size: Column, similarity: float) -> Column:
+    """Words that two lines of ``size`` tokens must share to be similar, at least."""
+    return F.greatest(F.lit(1), F.ceil(F.lit(similarity) * size - F.lit(1e-9)).cast("int"))
+
+
+def _keyed(rows: DataFrame, text: str, similarity: float) -> DataFrame:
+    """Add ``toks`` and one row per key (at, word): one for all in a leaf without ``places``, else the
+    first words in their order that cannot all be left out of what two similar lines share."""
+    toks = F.col("toks")
+    own = F.filter(
+        F.transform("places", lambda at: F.struct(at.alias("at"), F.get(toks, at).alias("word"))),
+        lambda k: k["word"] != logtext.WILDCARD,
+    )
+    words = F.size(F.filter(toks, lambda t: t != logtext.WILDCARD))
+    first = F.slice(own, F.lit(1), words - _fewest(F.size(toks), similarity) + 1)
+    every = F.array(F.struct(F.lit(-1).alias("at"), F.lit("").alias("word")))
+    keys = F.when(F.col("places").isNull(), every).otherwise(first)
+    keyed = rows.withColumn("toks", F.split(text, " ")).withColumn("_key", F.explode(keys)).drop("places")
+    return keyed.select("*", "_key.at", "_key.word").drop("_key")
+
+
 def assign(
     lines: DataFrame,
     templates: DataFrame,
@@ -419,32 +449,42 @@ def assign(
 ) -> DataFrame:
     """Add the event id of the closest stored template to lines with ``masked``; changes nothing.
 
-    Each distinct masked line is compared once, with an array of its leaf's templates, so no
-    line-template pairs are formed.
+    Distinct masked lines meet the templates of their leaf as rows. Whatever has too few words to reach
+    ``similarity`` (loners among them) is left out first, as it can match nothing. In a leaf with very many
+    templates only those are compared that share one of the words of ``_keyed``. Templates and lines of
+    one key are dealt to blocks of about ``BLOCK``, and every pair of blocks is a piece of work of its own.
     """
-    distinct = lines.select("masked").distinct()
 
     def branches_at(i: int, keyed: DataFrame) -> DataFrame:
         return branches.where(F.col("level") == i).select("node", "key", "first_pos")
 
-    routed, _ = _route(distinct, depth, branches_at)
-    per_leaf = templates.groupBy("leaf").agg(
-        F.collect_list(F.struct("event_id", "first_pos", F.split("template", " ").alias("t"))).alias("stored")
-    )
-    routed = routed.withColumn("_toks", F.split("masked", " "))
-    toks = F.col("_toks")
-    scored = F.transform(
-        "stored",
-        lambda c: F.struct(
-            logtext.similarity(c["t"], toks).alias("sim"),
-            logtext.wildcard_count(c["t"]).alias("wild"),
-            (-c["first_pos"]).alias("early"),
-            c["event_id"].alias("event_id"),
-        ),
-    )
-    best = F.array_max(scored)
-    matched = routed.join(per_leaf, "leaf", "left").select("masked", best.alias("b")).select(
-        "masked",
-        F.when(F.col("b.sim") >= similarity, F.col("b.event_id")).otherwise(F.lit(unseen)).alias("event_id"),
-    )
-    return lines.join(matched, "masked")
+    distinct = lines.select("masked").distinct().where(~_is_loner(similarity))
+    routed = settle(_route(distinct, depth, branches_at)[0].select("leaf", "masked"), "distinct")
+    able = templates.where(~_is_loner(similarity, "template")).select("leaf", "event_id", "first_pos", "template")
+    able = settle(able, "able")
+
+    size = F.split("leaf", _SEP)[0].cast("int")
+    many = F.lit(similarity > 0) & (F.col("n") > BLOCK * (size - _fewest(size, similarity) + 1))
+    leaves = able.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+    plan = settle(leaves.select("leaf").join(_places(able, leaves.where(many)), "leaf", "left"), "leaves")
+    stored = _keyed(salted_join(able, plan, ["leaf"], F.col("template")), "template", similarity)
+    asked = _keyed(salted_join(routed, plan, ["leaf"], F.col("masked")), "masked", similarity)
+
+    key = ["leaf", "at", "word"]
+    blocks = F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int")
+    cells = settle(
+        stored.groupBy(key).agg(blocks.alias("t_blocks")).join(asked.groupBy(key).agg(blocks.alias("l_blocks")), key), "cells")
+
+    def dealt(rows: DataFrame, spread: Column, own: str, other: str) -> DataFrame:
+        out = salted_join(rows, cells, key, spread)
+        out = out.withColumn(own, F.pmod(F.xxhash64(spread), F.col(f"{own}_blocks")).cast("int"))
+        out = out.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)))
+        return out.drop("t_blocks", "l_blocks")
+
+    left = dealt(asked, F.col("masked"), "l", "t")
+    right = dealt(stored.withColumnRenamed("toks", "t_toks"), F.struct("template", "first_pos"), "t", "l").drop("template")
+    pairs = left.join(right, [*key, "t", "l"]).withColumn("sim", logtext.similarity(F.col("t_toks"), F.col("toks")))
+    best = F.max(F.struct(
+        "sim", logtext.wildcard_count(F.col("t_toks")).alias("wild"), (-F.col("first_pos")).alias("early"), "event_id"))
+    matched = pairs.where(F.col("sim") >= similarity).groupBy("masked").agg(best.alias("_best")).select("masked", "_best.event_id")
+    return lines.join(matched, "masked", "left").withColumn("event_id", F.coalesce("event_id", F.lit(unseen)))

@@ -154,3 +154,39 @@ def test_assign_leaves_templates_alone(spark):
     new = spark.createDataFrame([(1, "INFO [bb] Build started on node gamma"), (2, "totally different words")], "id int, raw string")
     got = tm.assign(new.withColumn("masked", tm.masked_line(F.col("raw"))), m.templates, m.branches)
     assert {r.id: r.event_id for r in got.collect()} == {1: "E00000", 2: "__OTHER__"}
+
+
+@pytest.mark.parametrize("block", [1, 3, 1024])
+def test_assign_finds_the_closest_among_many_templates(spark, monkeypatch, block):
+    """Templates are compared as rows, in blocks, and those of few words not at all."""
+    monkeypatch.setattr(tm, "BLOCK", block)
+    rnd = random.Random(block)
+    words = ["alpha", "beta", "gamma", "delta", "eps", W]
+
+    def some(n):
+        return [["one", "two"][: rnd.randrange(3)] + [rnd.choice(words) for _ in range(rnd.choice([3, 5, 8]))] for _ in range(n)]
+
+    stored = [" ".join(t) for t in some(150)] + [W] * 50 + [f"{W} {W} {W}"] * 30
+    base = spark.createDataFrame([(i, x) for i, x in enumerate(stored)], "pos long, masked string")
+    routed, branches = tm.with_leaf(base, tm.DEPTH, 100)
+    templates = routed.select(
+        "leaf", F.format_string("E%d", "pos").alias("event_id"), F.col("masked").alias("template"), F.col("pos").alias("first_pos"))
+    asked = [" ".join(t) for t in some(150)] + [W, W, f"{W} {W} {W}", "never seen here"]
+    seen = {(len(t), *t[:2]) for t in (x.split(" ") for x in stored)}
+
+    def closest(line):
+        toks, best = line.split(" "), None
+        for i, x in enumerate(stored):
+            t = x.split(" ")
+            if len(t) == len(toks) and t[:2] == toks[:2]:
+                score = (sum(a == b != W for a, b in zip(t, toks)) / len(toks), t.count(W), -i)
+                best = max(best or score, score)
+        return f"E{-best[2]}" if best and best[0] >= tm.SIMILARITY else "__OTHER__"
+
+    # Lines whose first words no template has go to the wildcard branch; they are not compared here.
+    known = [x for x in asked if (len(x.split(" ")), *x.split(" ")[:2]) in seen or x == "never seen here"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(known)], "id long, masked string")
+    got = tm.assign(df, templates, branches)
+    assert {r.id: r.event_id for r in got.collect()} == {i: closest(x) for i, x in enumerate(known)}
+    assert got.count() == len(known) and "__OTHER__" != closest(stored[0])
+    assert "collect_list(struct(event_id" not in got._jdf.queryExecution().optimizedPlan().toString()
