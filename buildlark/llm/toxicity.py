@@ -38,8 +38,20 @@ LOOKALIKES = dict(zip("абсԁеёһіїјкӏмнорѕтԛуѵѡхгԍαβε
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a"}
 HIDDEN = "­​‌‍⁠﻿"
 
-TABLE = {i: " " for i in range(128) if not chr(i).isalpha()}
-TABLE |= {ord(a): b for a, b in (LOOKALIKES | LEET).items()} | {ord(c): None for c in HIDDEN}
+
+
+class _Table(dict):
+    """What becomes of a character: letters and the marks on them stay, invisible signs go, all else is a space."""
+
+    def __missing__(self, code: int) -> int | str | None:
+        c = chr(code)
+        kind = unicodedata.category(c)
+        invisible = kind == "Cf" or 0xFE00 <= code <= 0xFE0F or 0xE0100 <= code <= 0xE01EF
+        self[code] = None if invisible else code if kind[0] == "L" or kind in ("Mn", "Mc") else " "
+        return self[code]
+
+
+TABLE = _Table({ord(a): b for a, b in (LOOKALIKES | LEET).items()} | {ord(c): None for c in HIDDEN})
 
 
 def fold(text: str) -> str:

@@ -15,6 +15,17 @@ def test_folding_and_exceptions():
     assert t.measures("x", t.Lexicon(), t.Lexicon().automaton()) == (0.0, 0.0)
 
 
+def test_signs_of_any_script_end_words():
+    lexicon = t.Lexicon({" idiot": 2.0, " trash ": 1.0})
+    found = lexicon.automaton()
+    for a, b in ["¡!", "¿?", "«»", "“”", "„“", "‘’", "‹›", "「」", "——", "––", "……", "。、", "•·", "٣٣", "\u200e\u200f"]:
+        assert t.fold(f"{a}Idiot{b} {a}trash{b}").split() == ["idiot", "trash"], a
+        assert [w for _, w in t.hits(t.fold(f"{a}Idiot{b} {a}trash{b}"), lexicon, found)] == [2.0, 1.0], a
+    assert t.fold("so—trash—so").split() == ["so", "trash", "so"] and t.fold("isn’t") == t.fold("isn't")
+    assert t.fold("❤\ufe0fidiot").split() == ["idiot"]
+    assert t.fold("naïve Straße हिन्दी 漢字").split() == ["naïve", "straße", "हिन्दी", "漢字"]
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
