@@ -152,5 +152,5 @@ def multiprobe_nearest(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_token_files")
 def write_and_read_ids(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    files = token_files.write(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    files = token_files.write(docs, public_tokenizers.path("byte_bpe_50k.json"), special_as_text=False)
     return token_files.read(spark, files, token_files.keys_of(docs))

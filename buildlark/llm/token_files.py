@@ -12,12 +12,14 @@ stored is told by its fingerprint.
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -133,17 +135,19 @@ def _look_up(keys: pa.Table, index: pa.Table) -> pa.Table:
     })
 
 
-_encoders: dict[str, PartEncoder] = {}
+_encoders: dict[tuple[str, bool], PartEncoder | SimpleNamespace] = {}
 
 
-def library_encoder(definition: str) -> PartEncoder:
-    """Encodes with the tokenizers library, in this Python worker; special strings are ordinary text."""
-    if definition not in _encoders:
+def library_encoder(definition: str, special_as_text: bool) -> PartEncoder | SimpleNamespace:
+    """Encodes with the tokenizers library, in this Python worker; special strings are ordinary text or get their id.
+
+    Texts are encoded whole if an added token holds white space or takes in what is around it."""
+    if (definition, special_as_text) not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_str(definition)
-        own.encode_special_tokens = True
+        own.encode_special_tokens = special_as_text
 
         def encode(inner: list[str], heads: list[str]) -> list[bytes]:
             out = []
@@ -152,16 +156,19 @@ def library_encoder(definition: str) -> PartEncoder:
                 out += [array("I", e.ids).tobytes() for e in own.encode_batch_fast(texts[k:k + 5_000], add_special_tokens=False)]
             return out
 
-        _encoders[definition] = PartEncoder(encode)
-    return _encoders[definition]
+        added = json.loads(definition).get("added_tokens") or []
+        whole = any(a.get("lstrip") or a.get("rstrip") or any(map(str.isspace, a["content"])) for a in added)
+        made = SimpleNamespace(encode=lambda texts: encode([], texts)) if whole else PartEncoder(encode)
+        _encoders[definition, special_as_text] = made
+    return _encoders[definition, special_as_text]
 
 
-def _encode(definition: str, end_id: int, width: int) -> Callable:
+def _encode(definition: str, end_id: int, width: int, special_as_text: bool) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gc
 
         gc.disable()
-        encoder, kind = library_encoder(definition), f"<u{width}"
+        encoder, kind = library_encoder(definition, special_as_text), f"<u{width}"
         last, repeat, block, held, size = object(), 0, None, [], 0
 
         def out() -> pa.RecordBatch:
@@ -191,13 +198,14 @@ def _encode(definition: str, end_id: int, width: int) -> Callable:
     return work
 
 
-def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> TokenFiles:
+def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, special_as_text: bool = True) -> TokenFiles:
     """Encode every whole text, append ``end_id``, and write data and index files.
 
     NULL and empty texts are just the end id. Documents are in ascending order of doc_id, NULL first;
     rows that share an id follow one another in order of text and are told apart by their number.
     Other columns are ignored; no rows give empty files. The tokenizer's definition is read by the
-    driver; its size is that of the vocabulary.
+    driver; its size is that of the vocabulary. ``special_as_text=False`` is the library's own setting:
+    strings like ``<|endoftext|>`` in a text get the special token's id.
     """
     from tokenizers import Tokenizer
 
@@ -212,7 +220,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> TokenFiles:
     shared = spark.sparkContext.broadcast(definition)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _encode(shared.value, end_id, width)(batches)
+        yield from _encode(shared.value, end_id, width, special_as_text)(batches)
 
     data, index = new_table_path(spark, "ids"), new_table_path(spark, "ids-index")
     ranged.withColumn("shard", F.spark_partition_id().cast("long")).mapInArrow(work, DATA).write.option("compression", "zstd").parquet(data)

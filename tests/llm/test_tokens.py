@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import zlib
 
@@ -78,6 +79,32 @@ def test_files_equal_library(spark, sf, tok, monkeypatch, size):
     assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=lambda r: r[1]) == want
 
 
+def test_query_equals_the_unmodified_library(spark, tmp_path):
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f"x  {end}  y", f"a\n{end}\nb\n\n{end}", f"{end} lead and{end}glued", "<|endof text|>", "plain words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    own = Tokenizer.from_file(JSON)
+    assert own.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    start, want = 0, []
+    for i, t in enumerate(texts):
+        ids = np.array(own.encode(t, add_special_tokens=False).ids + [2], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    got = entry.queries()["op4_token_files"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == want
+
+
+def test_tokens_that_take_in_spaces_are_encoded_whole():
+    spec = json.loads(open(JSON).read())
+    spec["added_tokens"][0] |= {"lstrip": True, "rstrip": True}
+    definition = json.dumps(spec)
+    text = "a <|endoftext|> b  <|endoftext|>\nc"
+    got = token_files.library_encoder(definition, False).encode([text, "d"])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [
+        Tokenizer.from_str(definition).encode(t, add_special_tokens=False).ids for t in (text, "d")]
+
+
 def test_index_knows_what_is_missing(spark):
     df = spark.createDataFrame([(i * 7, f"text {i}") for i in range(3_000)], "doc_id long, text string")
     files = token_files.write(df, JSON)
