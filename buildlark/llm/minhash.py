@@ -258,7 +258,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: one for each component. Rows without an id all stay."""
+    """The rows of ``docs`` that stay: one for each component. Rows without an id all stay.
+
+    Of rows that share the id, the one with the longest text stays, then the last in order of the text and
+    of the other columns, so that every run keeps the same row."""
     kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    last = F.max(F.struct(F.octet_length("text").alias("_bytes"), "text", *others)).alias("_last")
+    named = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(last).select(
+        "doc_id", *[F.col("_last").getField(c).alias(c) for c in ("text", *others)])
     return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -102,3 +102,13 @@ def test_families_with_few_links(spark, monkeypatch, members):
     monkeypatch.setattr(minhash, "BLOCK_MEMBERS", members)
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.components(rows)
+
+
+def test_the_longest_row_of_an_id_stays(spark):
+    long = "one two three four five six seven eight"
+    rows = [(1, "", "a"), (1, long, "b"), (1, "nine ten", "z"), (1, long, "a"), (1, None, "y"), (None, "x", "n"), (2, "", "c")]
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, "doc_id long, text string, source string").coalesce(1)
+        got = minhash.one_of_each(df)
+        assert got.columns == df.columns
+        assert {tuple(r) for r in got.collect()} == {(1, long, "b"), (2, "", "c"), (None, "x", "n")}
