@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlark.llm import ann, bpe, chat, minhash, mixing, secret_scan, substrings, token_files, topk, toxicity, vectors
+from buildlark.llm import (
+    ann, bpe, chat, hard_negatives, minhash, mixing, repair, secret_scan, substrings, token_files, topk, toxicity,
+    url_filter, vectors,
+)
 from buildlark.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -154,3 +157,96 @@ def write_and_read_ids(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     files = token_files.write(docs, public_tokenizers.path("byte_bpe_50k.json"), special_as_text=False)
     return token_files.read(spark, files, token_files.keys_of(docs))
+
+
+RULES = (
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+)
+
+URL_SQL = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), named AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*', 0)) + 1), '^[^?#]*', 0) AS path FROM cut
+), rules(action, own, start) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), outcomes AS (
+  SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END) AS bad
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY 1
+), counted AS (
+  SELECT host, count(*) AS n, sum(bad) AS k FROM (SELECT DISTINCT host, page_id FROM named) JOIN outcomes USING (page_id) WHERE bad IS NOT NULL GROUP BY 1
+), hosts AS (
+  SELECT host, coalesce(n, 0) :: double AS n, coalesce(k, 0) :: double AS k,
+    CASE WHEN contains(host, '.') THEN regexp_extract(host, '[^.]*\.[^.]*$', 0) ELSE host END AS domain,
+    regexp_extract(host, '[^.]*$', 0) AS suffix
+  FROM (SELECT DISTINCT host FROM named) LEFT JOIN counted USING (host)
+), base AS (SELECT (sum(k) + 0.5) / (sum(n) + 1) AS m FROM hosts),
+sums1 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT m FROM base) AS m FROM hosts GROUP BY 1),
+r1 AS (SELECT sum((k - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0) AS r FROM sums1),
+s1 AS (SELECT CASE WHEN r IS NULL THEN 1000e0 ELSE 1 / least(1 / 3e0, greatest(1 / 1001e0, r)) - 1 END AS s FROM r1),
+m1 AS (SELECT suffix, (k + s * m) / (n + s) AS m FROM sums1, s1),
+sums2 AS (SELECT domain, h.suffix, sum(n) AS n, sum(k) AS k, any_value(m1.m) AS m FROM hosts h JOIN m1 USING (suffix) GROUP BY 1, 2),
+r2 AS (SELECT sum((k - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0) AS r FROM sums2),
+s2 AS (SELECT CASE WHEN r IS NULL THEN 1000e0 ELSE 1 / least(1 / 3e0, greatest(1 / 1001e0, r)) - 1 END AS s FROM r2),
+m2 AS (SELECT domain, (k + s * m) / (n + s) AS m FROM sums2, s2),
+with_prior AS (SELECT host, n, k, m FROM hosts JOIN m2 USING (domain)),
+r3 AS (SELECT sum((k - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0) AS r FROM with_prior),
+s3 AS (SELECT CASE WHEN r IS NULL THEN 1000e0 ELSE 1 / least(1 / 3e0, greatest(1 / 1001e0, r)) - 1 END AS s FROM r3),
+beta AS (SELECT host, k + s * m AS a, n - k + s * (1 - m) AS b FROM with_prior, s3),
+roots AS (SELECT *, cbrt(b / 3e0) AS p, cbrt(a * (2 / 3e0)) AS q FROM beta),
+judged AS (SELECT host, 3 * (p * (1 - 1 / (9 * b)) - q * (1 - 1 / (9 * a))) / sqrt(p * p / b + q * q / a) < -1.6448536269514722 AS blocked FROM roots),
+fits AS (
+  SELECT host, path, max_by(own || start, length(own || start)) AS rule, max_by(action, length(own || start)) AS action
+  FROM (SELECT DISTINCT host, path FROM named) JOIN rules ON (host = own OR ends_with(host, '.' || own)) AND starts_with(path, start) GROUP BY 1, 2
+)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
+FROM named JOIN judged USING (host) LEFT JOIN fits USING (host, path)
+"""
+
+
+@query("op11_url_filter", URL_SQL)
+def filter_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """A page's outcome is the label of its id: bad if of low quality or toxic."""
+    labels = table(spark, sf, "labels")
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(
+        F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return url_filter.judge(table(spark, sf, "pages").select("page_id", "url"), outcomes, RULES)
+
+
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id AND len(a.q) = len(b.q)
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), inside AS (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank
+  FROM positives JOIN scored USING (anchor_id)
+  WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM inside WHERE rank <= 5
+"""
+
+
+@query("op12_hard_negatives", NEGATIVES_SQL)
+def mine_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Every seventh row by id gets the next label first, as the task says."""
+    rows = hard_negatives.usable(table(spark, sf, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@query("op13_repair_conversations")
+def repair_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.with_all(repair.repair(repair.damage(rows)), rows)
