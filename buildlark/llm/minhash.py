@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from buildlark.llm.components import components
 from buildlark.llm.words import U, byte_texts, hash_words, mix, window_hashes
@@ -31,7 +32,7 @@ LEAST = 75
 #: deviations away from it.
 SIGNATURE_LEAST = 0.5
 #: Members and shingles that a block of a clump holds, about; columns that are multiplied at once.
-BLOCK_MEMBERS, BLOCK_SHINGLES, COLUMNS = 1_000, 2_000_000, 2_048
+BLOCK_MEMBERS, BLOCK_SHINGLES, COLUMNS = 1_000, 250_000, 2_048
 
 _rng = np.random.default_rng(77)
 FACTOR = _rng.integers(1, 1 << 62, BANDS * ROWS, dtype=U) * U(2) + U(1)
@@ -257,14 +258,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: one for each component. Rows without an id all stay.
-
-    Of rows that share the id, the one with the longest text stays, then the last in order of the text and
-    of the other columns, so that every run keeps the same row."""
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    last = F.max(F.struct(F.octet_length("text").alias("_bytes"), "text", *others)).alias("_last")
-    named = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(last).select(
-        "doc_id", *[F.col("_last").getField(c).alias(c) for c in ("text", *others)])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """The rows of ``docs`` that stay: one for each component, with the same columns. Rows without an id all stay.
+
+    Of rows that share an id, the one with the longest text stays, then the last in order of the text and
+    of the other columns that have an order (maps have none), so that every run keeps the same row. Only such
+    rows are compared; a row whose id comes once is passed on. Columns may have any names. NULL and
+    empty texts are linked with nothing; no rows give no rows."""
+    per_id = near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.max("kept").alias("kept"), (F.count(F.lit(1)) > 1).alias("again")).where("kept")
+    per_id = settle(per_id.drop("kept"), "stay")
+    once = docs.join(per_id.where("NOT again").select("doc_id"), "doc_id", "left_semi")
+    several = docs.join(per_id.where("again").select("doc_id"), "doc_id", "left_semi")
+    order = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name not in ("doc_id", "text") and _orderable(f.dataType)]
+    rank = F.struct(F.octet_length("text"), F.col("text"), *order)
+    last = several.groupBy("doc_id").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), rank).alias("row"))
+    last = last.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return once.select(*[f"`{c}`" for c in docs.columns]).unionByName(last).unionByName(docs.where("doc_id IS NULL"))

@@ -17,7 +17,7 @@ BASE_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 STEP = (U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F))
 
 #: Bytes of text that are hashed together.
-AT_ONCE = 2_000_000
+AT_ONCE = 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -85,3 +85,5 @@ def byte_texts(batch: pa.RecordBatch, lower: bool = False, column: str = "text")
             start, held, size = i + 1, [], 0
     if held:
         yield start, held
+    # The worker lives on; what Arrow has freed goes back to the system.
+    pa.default_memory_pool().release_unused()

@@ -112,3 +112,19 @@ def test_the_longest_row_of_an_id_stays(spark):
         got = minhash.one_of_each(df)
         assert got.columns == df.columns
         assert {tuple(r) for r in got.collect()} == {(1, long, "b"), (2, "", "c"), (None, "x", "n")}
+
+
+def test_one_of_each_with_any_columns(spark):
+    """Names of inner columns, maps and repeated ids; rows whose id comes once are untouched."""
+    text = "a b c d e f g h"
+    rows = [(1, text, 5, {"a": 1}, "x"), (2, text, 6, {"a": 2}, "y"), (3, "short", 1, None, None), (3, "longer text", 2, {"b": 1}, None),
+            (3, "longer text", 3, {"c": 1}, None), (None, text, 9, None, "z"), (None, None, 9, None, "z"), (4, None, 1, None, ""), (5, "", 1, None, "")]
+    schema = "doc_id long, text string, _bytes int, kept map<string,int>, `again.x` string"
+    got = minhash.one_of_each(spark.createDataFrame(rows, schema))
+    assert got.columns == ["doc_id", "text", "_bytes", "kept", "again.x"]
+    want = [rows[0], rows[4], rows[5], rows[6], rows[7], rows[8]]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_one_of_each_of_no_rows(spark):
+    assert minhash.one_of_each(spark.createDataFrame([], "doc_id long, text string, kept int")).count() == 0
