@@ -7,8 +7,8 @@ are written as Parquet to the shared folder and read again.
 2. near_duplicates: one document of each near-duplicate group stays, the one with the smallest id.
 3. secrets: spans of secrets are replaced by a mark; every row stays.
 4. mix: sources are brought to their target weights; rows are repeated or cut as the mix says.
-5. token_ids: encoded by byte-level BPE and decoded; columns doc_id, n_tokens and the digests of the
-   ids and of the decoded bytes.
+5. token_ids: encoded by byte-level BPE and decoded; columns doc_id, n_tokens, the digests of the
+   ids and of the decoded bytes, and the ids (little-endian, 32 bits).
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.round_trip(docs, path, public_tokenizers.PATTERN)
+    return bpe.round_trip(docs, path, public_tokenizers.PATTERN, with_ids=True)
 
 
 STAGES = [
