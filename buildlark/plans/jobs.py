@@ -372,11 +372,21 @@ def row_as_json(spark, sf):
 
 
 # --- streams ---------------------------------------------------------------------------------------
-def _landed(df: DataFrame, label: str) -> str:
-    """Write rows as the JSON files a stream picks up; returns the folder."""
-    path = new_table_path(df.sparkSession, label)
-    df.write.json(path)
-    return path
+def _fed(spark, parts: list[DataFrame], start):
+    """Land the parts one after the other as JSON files; the stream is stopped after each and goes on from its checkpoint.
+
+    ``start(folder)`` starts it; the last query is returned."""
+    folder = new_table_path(spark, "landing")
+    q = None
+    for part in parts:
+        part.write.mode("append").json(folder)
+        q = start(folder)
+        q.awaitTermination()
+    return q
+
+
+def _thirds(rows: DataFrame, by: str) -> list[DataFrame]:
+    return [rows.where(F.pmod(F.col(by), F.lit(3)) == k) for k in range(3)]
 
 
 def _build_events(spark, sf) -> DataFrame:
@@ -388,47 +398,75 @@ def _build_events(spark, sf) -> DataFrame:
     )
 
 
+_SENT = f"{schemas.BUILD_EVENT}, sent_at timestamp"
+_EVENT_KEYS = ("job_name", "build_number", "status", "timestamp")
+
+
+def _sent(events: DataFrame, minute: int) -> DataFrame:
+    """Events as sent in one minute of an hour."""
+    return events.withColumn("sent_at", F.lit(f"2024-01-01 10:{minute:02d}:00").cast("timestamp"))
+
+
 @query("src8_stream_scan", with_views("""
 SELECT job_name, build_number, status, duration_ms, strftime(build_timestamp, '%Y-%m-%dT%H:%M:%S') AS timestamp FROM builds"""))
 def stream_scan(spark, sf):
-    folder = _landed(_build_events(spark, sf), "landing")
+    """Three lots of files, taken up in three runs."""
     out, cp = new_table_path(spark, "table"), new_table_path(spark, "checkpoint")
-    ST.store(ST.read_json(spark, folder), out, cp).awaitTermination()
+    _fed(spark, _thirds(_build_events(spark, sf), "build_number"), lambda folder: ST.store(ST.read_json(spark, folder), out, cp))
     return spark.read.parquet(out).select("job_name", "build_number", "status", "duration_ms", "timestamp")
 
 
 @query("st1_follow_builds", with_views("""
-SELECT b.job_name, b.build_number, b.status, o_totalprice > 300000 AS predicted_failure, 'u/' || b.build_number AS build_url,
+SELECT b.job_name, b.build_number, b.status, o_totalprice > 300000 AS predicted_failure,
+  CASE b.build_number % 3 WHEN 0 THEN 'first/' ELSE 'u/' END || b.build_number AS build_url, b.build_number % 3 = 0 AS is_demo,
   status NOT IN ('SUCCESS', 'IN_PROGRESS') AS actual_failure,
   CASE WHEN status <> 'IN_PROGRESS' THEN (o_totalprice > 300000) = (status NOT IN ('SUCCESS', 'IN_PROGRESS')) END AS prediction_correct
 FROM builds b JOIN orders ON o_orderkey = b.build_number"""))
 def follow_builds(spark, sf):
-    folder = _landed(_build_events(spark, sf), "landing")
+    """A third of the builds comes while it runs, then all as they end, then what came first once more.
+
+    The events that are sent again have another URL and are told by job, number, status and time; were they taken
+    up, a third of the builds would be running again."""
+    events = _build_events(spark, sf)
+    number = F.col("build_number")
+    begun = events.where(number % 3 == 0).withColumns({
+        "status": F.lit("QUEUED"), "url": F.concat(F.lit("first/"), number.cast("string")), "demo": F.lit(True)})
+    again = begun.withColumn("url", F.lit("again/"))
     root, cp = new_table_path(spark, "builds"), new_table_path(spark, "checkpoint")
-    ST.follow_builds(ST.read_json(spark, folder), root, cp).awaitTermination()
+
+    def start(folder: str):
+        return ST.follow_builds(ST.once(ST.read_json(spark, folder, _SENT), _EVENT_KEYS, "sent_at"), root, cp)
+
+    _fed(spark, [_sent(begun, 1), _sent(events, 2), _sent(again, 3)], start)
     return ST.current_builds(spark, root).select(
-        "job_name", "build_number", "status", "predicted_failure", "build_url", "actual_failure", "prediction_correct"
+        "job_name", "build_number", "status", "predicted_failure", "build_url", "is_demo", "actual_failure", "prediction_correct"
     )
 
 
 @query("st2_mine_stream", with_views(f"WITH {sql_mined('msg')} SELECT pos, event_id, template_online FROM mined"))
 def mine_stream(spark, sf):
+    """Lines in three lots: those of each third of the log, but every seventh comes a lot late."""
     lines = views.event_logs(spark, sf).select(F.col("event_id").alias("pos"), F.col("msg").alias("raw"))
-    folder = _landed(lines, "lines")
+    n = lines.agg((F.max("pos") - F.min("pos") + 1).alias("n"), F.min("pos").alias("low")).first()
+    third, low = -(-n["n"] // 3), n["low"]
+    lot = F.least(F.lit(2), F.floor((F.col("pos") - low) / F.lit(third)) + F.when(F.col("pos") % 7 == 3, 1).otherwise(0))
     root, cp = new_table_path(spark, "mined"), new_table_path(spark, "checkpoint")
-    ST.mine_lines(ST.read_json(spark, folder, "pos long, raw string"), root, cp).awaitTermination()
-    return spark.read.parquet(f"{root}/lines").select("pos", "event_id", "template_online")
+
+    def start(folder: str):
+        return ST.mine_lines(ST.read_json(spark, folder, "pos long, raw string"), root, cp, lag=2 * third)
+
+    q = _fed(spark, [lines.where(lot == k) for k in range(3)], start)
+    return ST.mined_lines(spark, root, q.lastProgress["batchId"])
 
 
 @query("st3_job_figures", with_views("""
 SELECT job_name, count(*) AS total_builds, count_if(actual_failure) :: bigint AS actual_failures,
   count_if(predicted_failure) :: bigint AS predicted_failures, count_if(prediction_correct) :: bigint AS correct_predictions FROM judged_builds GROUP BY 1"""))
 def job_figures(spark, sf):
-    folder = _landed(views.builds(spark, sf), "landing")
     ddl = "job_name string, build_number long, status string, duration_ms long, predicted_failure boolean"
     out, cp = new_table_path(spark, "figures"), new_table_path(spark, "checkpoint")
-    q = ST.refresh(ST.job_figures(ST.read_json(spark, folder, ddl)), out, cp)
-    q.awaitTermination()
+    q = _fed(spark, _thirds(views.builds(spark, sf), "build_number"),
+             lambda folder: ST.refresh(ST.job_figures(ST.read_json(spark, folder, ddl)), out, cp))
     return spark.read.parquet(f"{out}/{q.lastProgress['batchId']}")
 
 
@@ -437,11 +475,18 @@ SELECT pipeline_id AS job, strftime(date_trunc('hour', created_at), '%Y-%m-%d %H
 FROM predictions GROUP BY 1, 2, date_trunc('hour', created_at)
 HAVING date_trunc('hour', created_at) + INTERVAL 1 HOUR <= (SELECT max(created_at) FROM predictions) - INTERVAL 1 HOUR"""))
 def hourly_counts(spark, sf):
+    """The older half of the rows, the newer half, and then rows of closed hours once more, which come too late."""
     rows = views.predictions(spark, sf).select(F.col("pipeline_id").alias("job"), F.col("created_at").cast("timestamp").alias("created_at"), "is_anomaly")
-    folder = _landed(rows, "landing")
+    t = rows.agg(F.percentile_approx("created_at", 0.5).alias("middle"), F.max("created_at").alias("last")).first()
+    older = rows.where(F.col("created_at") < F.lit(t["middle"]))
+    late = older.where(F.col("created_at") < F.lit(t["last"]) - F.expr("INTERVAL 3 HOURS"))
     out, cp = new_table_path(spark, "hours"), new_table_path(spark, "checkpoint")
-    events = ST.read_json(spark, folder, "job string, created_at timestamp, is_anomaly boolean")
-    ST.store(ST.hourly_counts(events, "job", "created_at", F.col("is_anomaly")), out, cp).awaitTermination()
+
+    def start(folder: str):
+        events = ST.read_json(spark, folder, "job string, created_at timestamp, is_anomaly boolean")
+        return ST.store(ST.hourly_counts(events, "job", "created_at", F.col("is_anomaly")), out, cp)
+
+    _fed(spark, [older, rows.where(F.col("created_at") >= F.lit(t["middle"])), late], start)
     got = spark.read.schema("job string, hour timestamp, failures long").parquet(out)
     return got.withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH"))
 
@@ -449,8 +494,12 @@ def hourly_counts(spark, sf):
 @query("tk8_latest_events", with_views("""
 SELECT job_name, build_number, status FROM builds ORDER BY build_timestamp DESC, job_name, build_number LIMIT 50"""))
 def latest_events(spark, sf):
-    folder = _landed(_build_events(spark, sf), "landing")
+    """Three lots of events, and the first lot once more, which must not take places twice."""
+    lots = _thirds(_build_events(spark, sf), "build_number")
     root, cp = new_table_path(spark, "latest"), new_table_path(spark, "checkpoint")
-    q = ST.keep_latest(ST.read_json(spark, folder), root, cp)
-    q.awaitTermination()
+
+    def start(folder: str):
+        return ST.keep_latest(ST.once(ST.read_json(spark, folder, _SENT), _EVENT_KEYS, "sent_at"), root, cp)
+
+    q = _fed(spark, [_sent(part, k) for k, part in enumerate([*lots, lots[0]])], start)
     return spark.read.parquet(f"{root}/{q.lastProgress['batchId']}").select("job_name", "build_number", "status")

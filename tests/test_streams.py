@@ -49,3 +49,70 @@ def test_mining_a_stream_equals_mining_at_once(spark, tmp_path):
     got = {r.pos: (r.event_id, r.template_online) for r in spark.read.parquet(f"{tmp_path}/out/lines").collect()}
     want = {r.pos: (r.event_id, r.template_online) for r in tm.mine(df).lines.collect()}
     assert got == want
+
+
+def lines_of(n):
+    return [f"{'INFO' if i % 3 else 'WARN'} [svc-{i % 4}] {'Build' if i % 2 else 'Deploy'} {'started' if i < n // 2 else 'ended'} for branch b{i % 5}" for i in range(n)]
+
+
+def mined_at_once(spark, df):
+    return {r.pos: (r.event_id, r.template_online) for r in tm.mine(df).lines.collect()}
+
+
+def test_mining_lines_out_of_order(spark, tmp_path):
+    """Four batches in odd orders, one of them run twice, with a restart after each; then a line that is too late."""
+    df = spark.createDataFrame(list(enumerate(lines_of(60))), "pos long, raw string")
+    lots = [range(12, 30), [*range(0, 12), *range(40, 45)], range(30, 40), range(45, 60)]
+    src, out, ddl = str(tmp_path / "in"), str(tmp_path / "out"), "pos long, raw string"
+
+    def run():
+        q = st.mine_lines(st.read_json(spark, src, ddl), out, str(tmp_path / "cp"), lag=32)
+        q.awaitTermination()
+        return q.lastProgress["batchId"]
+
+    for k, lot in enumerate(lots):
+        part = df.where(F.col("pos").isin(list(lot)))
+        part.coalesce(1).write.mode("append").json(src)
+        assert run() == k
+        if k == 2:  # as after a failure before the batch was committed
+            st.mine_batch(part, k, out, lag=32)
+    want = mined_at_once(spark, df)
+    got = {r.pos: (r.event_id, r.template_online) for r in st.mined_lines(spark, out, 3).collect()}
+    assert got == want
+    done = {r.pos: (r.event_id, r.template_online) for r in spark.read.parquet(f"{out}/lines").select("pos", "event_id", "template_online").collect()}
+    assert done == {p: t for p, t in want.items() if p <= 59 - 32}
+    spark.createDataFrame([(3, "too late")], ddl).coalesce(1).write.mode("append").json(src)
+    assert run() == 4
+    assert [(r.pos, r.raw) for r in spark.read.parquet(f"{out}/late").select("pos", "raw").collect()] == [(3, "too late")]
+    assert {r.pos: (r.event_id, r.template_online) for r in st.mined_lines(spark, out, 4).collect()} == want
+
+
+def test_mining_starts_with_lines_that_wait(spark, tmp_path):
+    df = spark.createDataFrame(list(enumerate(lines_of(10))), "pos long, raw string")
+    out = str(tmp_path / "out")
+    st.mine_batch(df.where("pos < 4"), 0, out, lag=100)
+    st.mine_batch(df.limit(0), 1, out, lag=100)
+    st.mine_batch(df.where("pos >= 4"), 2, out, lag=100)
+    assert {r.pos: (r.event_id, r.template_online) for r in st.mined_lines(spark, out, 2).collect()} == mined_at_once(spark, df)
+
+
+def test_repeated_events_over_many_batches(spark, tmp_path):
+    """One file a batch; repeats within the watermark go, those without a time stay, late ones are dropped."""
+    ddl = "job_name string, build_number long, status string, sent_at timestamp"
+    lots = [
+        [("a", 1, "X", "2024-01-01 10:00:00"), ("a", 1, "X", "2024-01-01 10:00:00"), ("b", 1, "X", None)],
+        [("a", 1, "X", "2024-01-01 10:20:00"), ("a", 1, "Y", "2024-01-01 10:20:00"), ("b", 1, "X", None)],
+        [("c", 9, "X", "2024-01-01 18:00:00")],
+        [("d", 5, "X", "2024-01-01 18:01:00")],
+        [("d", 5, "X", "2024-01-01 18:02:00"), ("e", 5, "X", "2024-01-01 10:00:00")],
+    ]
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for lot in lots:
+        rows = spark.createDataFrame(lot, "job_name string, build_number long, status string, at string")
+        rows.select("job_name", "build_number", "status", F.col("at").cast("timestamp").alias("sent_at")).coalesce(1).write.mode("append").json(src)
+    events = st.once(st.read_json(spark, src, ddl, files_per_batch=1), ["job_name", "build_number", "status"], "sent_at")
+    q = st.store(events, out, str(tmp_path / "cp"))
+    q.awaitTermination()
+    assert sum(p["numInputRows"] > 0 for p in q.recentProgress) == 5
+    got = sorted((r.job_name, r.status) for r in spark.read.schema(ddl).parquet(out).collect())
+    assert got == [("a", "X"), ("a", "Y"), ("b", "X"), ("b", "X"), ("c", "X"), ("d", "X")]
