@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -11,9 +11,12 @@ from buildlark.functions import logtext, scoring
 from buildlark.operators import explain as X
 from buildlark.operators.models import Classifier
 from buildlark.operators.rollups import alerts_from_predictions
+from buildlark.session import settle
 
 BUILD_KEYS = ("job_name", "build_number")
 FIRST_SEEN = ("build_url", "is_demo")
+BUCKETS = 64  # folders of a builds table
+FILE_ROWS = 2_000_000
 
 
 def conform(df: DataFrame, ddl: str) -> DataFrame:
@@ -74,6 +77,55 @@ def upsert_builds(
     return merged.select(*BUILD_KEYS, "f.*", "r.*").select(*stored.columns)
 
 
+# ---------------------------------------------------------------------------
+# A builds table in hash buckets
+# ---------------------------------------------------------------------------
+def _bucketed(builds: DataFrame, buckets: int) -> DataFrame:
+    return conform(builds, schemas.TABLES["builds"]).withColumn("bucket", F.pmod(F.xxhash64(*BUILD_KEYS), F.lit(buckets)).cast("int"))
+
+
+def _write_buckets(rows: DataFrame, path: str) -> None:
+    """Replace the buckets that ``rows`` hold; one task per bucket writes it, in files of bounded length."""
+    (
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .option("maxRecordsPerFile", FILE_ROWS).partitionBy("bucket").parquet(path)
+    )
+
+
+def stored_builds(spark: SparkSession, path: str) -> DataFrame:
+    """The builds of a table in buckets, with their ``bucket``; a filter on it reads only those folders."""
+    return spark.read.schema(f"{schemas.TABLES['builds']}, bucket int").parquet(path)
+
+
+def store_builds(builds: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Begin a table of builds, one row per key, dealt to ``buckets`` folders by the hash of the key.
+
+    Take so many that a bucket fits a task: an upsert rewrites every bucket it has a key in. The number must stay
+    the same for a table; ``merge_builds`` has to be told it."""
+    first = upsert_builds(conform(builds, schemas.TABLES["builds"]).limit(0), conform(builds, schemas.TABLES["builds"]))
+    _write_buckets(_bucketed(first, buckets), path)
+
+
+def merge_builds(
+    incoming: DataFrame, path: str, buckets: int = BUCKETS, order: tuple[str, ...] = ("synced_at", "build_timestamp")
+) -> list[int]:
+    """Merge builds into the table at ``path`` as ``upsert_builds`` does; returns the buckets that were touched.
+
+    Only the buckets that incoming keys fall into are read, shuffled and written. The merged buckets are written aside
+    first and then put in place bucket by bucket: should that be cut short, doing the same merge again ends in
+    the same table, as a row that is merged already changes nothing. No rows touch no bucket.
+    """
+    spark = incoming.sparkSession
+    new = settle(_bucketed(incoming, buckets), "incoming")
+    touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())  # at most ``buckets``
+    if not touched:
+        return []
+    old = stored_builds(spark, path).where(F.col("bucket").isin(touched))
+    merged = upsert_builds(old.drop("bucket"), new.drop("bucket"), order)
+    _write_buckets(settle(_bucketed(merged, buckets), "merged"), path)
+    return touched
+
+
 def build_rows(scored_builds: DataFrame) -> DataFrame:
     """Scored builds as rows of the builds table; the snippet is the log's head."""
     out = scored_builds.withColumn("log_snippet", logtext.head(F.coalesce("log", F.lit("")), scoring.BUILD_LOG_CHARS))

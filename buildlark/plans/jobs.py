@@ -283,7 +283,7 @@ SELECT o_orderpriority AS job_name, o_orderkey AS build_number,
   'first/' || o_orderkey AS build_url, o_orderstatus = 'P' AS is_demo,
   CASE WHEN o_orderstatus = 'O' THEN cast(floor(o_totalprice) AS bigint) * 2 ELSE cast(floor(o_totalprice) AS bigint) END AS duration_ms FROM orders""")
 def upsert_builds(spark, sf):
-    """All orders stored once; the open ones come in again finished, twice, with another URL."""
+    """All orders stored once, in buckets; the open ones come in again finished, twice, with another URL."""
     o = views.table(spark, sf, "orders")
 
     def rows(of, status, url, factor, demo, at):
@@ -299,8 +299,32 @@ def upsert_builds(spark, sf):
     again = o.where("o_orderstatus = 'O'")
     late = rows(again, F.lit("SUCCESS"), "second/", 2, F.lit(True), "2024-01-03 00:00:00")
     early = rows(again, F.lit("ABORTED"), "second/", 3, F.lit(True), "2024-01-02 00:00:00")
-    out = tables.upsert_builds(stored, late.unionByName(early))
-    return out.select("job_name", "build_number", "status", "build_url", "is_demo", "duration_ms")
+    root = new_table_path(spark, "builds")
+    tables.store_builds(stored, root)
+    tables.merge_builds(late.unionByName(early), root)
+    return tables.stored_builds(spark, root).select("job_name", "build_number", "status", "build_url", "is_demo", "duration_ms")
+
+
+@query("snk3_upsert_touches", """
+SELECT o_orderpriority AS job_name, o_orderkey AS build_number, CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders) THEN 'ABORTED' ELSE 'SUCCESS' END AS status,
+  o_orderkey <> (SELECT min(o_orderkey) FROM orders) AS synced_before,
+  (SELECT count(*) FROM orders) > 0 AS one_bucket FROM orders""")
+def upsert_touches(spark, sf):
+    """The build of the lowest number comes in again: one of 16 buckets is rewritten, all rows are still there."""
+    o = views.table(spark, sf, "orders")
+    root = new_table_path(spark, "builds")
+
+    def rows(of, status, at):
+        return of.select(
+            F.col("o_orderpriority").alias("job_name"), F.col("o_orderkey").alias("build_number"), F.lit(status).alias("status"),
+            F.lit(at).cast("timestamp").alias("synced_at"), F.col("o_orderdate").cast("timestamp").alias("build_timestamp"))
+
+    tables.store_builds(rows(o, "SUCCESS", "2024-01-01 00:00:00"), root, 16)
+    lowest = o.agg(F.min("o_orderkey")).first()[0]
+    touched = tables.merge_builds(rows(o.where(F.col("o_orderkey") == lowest), "ABORTED", "2024-01-02 00:00:00"), root, 16)
+    return tables.stored_builds(spark, root).select(
+        "job_name", "build_number", "status", (F.col("synced_at") < F.lit("2024-01-02").cast("timestamp")).alias("synced_before"),
+        F.lit(len(touched) == 1).alias("one_bucket"))
 
 
 @query("snk4_metrics_rows")
