@@ -300,8 +300,8 @@ def upsert_builds(spark, sf):
     late = rows(again, F.lit("SUCCESS"), "second/", 2, F.lit(True), "2024-01-03 00:00:00")
     early = rows(again, F.lit("ABORTED"), "second/", 3, F.lit(True), "2024-01-02 00:00:00")
     root = new_table_path(spark, "builds")
-    tables.store_builds(stored, root)
-    tables.merge_builds(late.unionByName(early), root)
+    tables.store_builds(stored, root, 16)
+    tables.merge_builds(late.unionByName(early), root, 16)
     return tables.stored_builds(spark, root).select("job_name", "build_number", "status", "build_url", "is_demo", "duration_ms")
 
 

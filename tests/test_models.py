@@ -1,8 +1,11 @@
 """Features, models, explanations, sequences and forecasts on small fixtures."""
 
+import itertools
 import math
+import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -94,24 +97,80 @@ def test_contributions_add_up_to_the_forest(clf, lines, spark):
         assert got[k] == pytest.approx(v, abs=1e-9)
 
 
-def test_contributions_equal_a_walk_by_hand(clf, lines, spark):
-    ready = models.featurise(lines, "log_text", clf).select("id", "features")
-    trees = explain._trees(explain.node_table(spark, clf.models[models.RF]))
-    want = {}
-    for r in ready.collect():
-        have = {int(i): float(v) for i, v in zip(r.features.indices, r.features.values)}
-        credit = dict.fromkeys(have, 0.0)
+def known_value(tree, cells, known, at=0):
+    """What a tree says of a row of which only some features are known."""
+    if tree["left"][at] < 0:
+        return tree["share"][at]
+    f, below = int(tree["feature"][at]), [int(tree["left"][at]), int(tree["right"][at])]
+    if f in known:
+        return known_value(tree, cells, known, below[0] if cells.get(f, 0.0) <= tree["threshold"][at] else below[1])
+    return sum(tree["cover"][b] / tree["cover"][at] * known_value(tree, cells, known, b) for b in below)
+
+
+def shapley_by_subsets(tree, cells):
+    used = sorted({int(f) for f, left in zip(tree["feature"], tree["left"]) if left >= 0})
+    m, out = len(used), {}
+    for f in used:
+        others = [g for g in used if g != f]
+        out[f] = sum(
+            math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m)
+            * (known_value(tree, cells, {*some, f}) - known_value(tree, cells, set(some)))
+            for k in range(m) for some in itertools.combinations(others, k)
+        )
+    return out
+
+
+def random_tree(rng, depth, features):
+    """Features may come again on a path; a tree may be a single leaf."""
+    nodes = {c: [] for c in ("left", "right", "feature", "threshold", "share", "cover")}
+
+    def grow(level, cover):
+        at = len(nodes["left"])
+        leaf = level == 0 or rng.random() < 0.15
+        row = {"left": -1, "right": -1, "feature": -1, "threshold": 0.0, "share": rng.random(), "cover": cover}
+        for c in nodes:
+            nodes[c].append(row[c])
+        if not leaf:
+            part = rng.choice([0.2, 0.5, 0.9])
+            nodes["feature"][at], nodes["threshold"][at] = rng.randrange(features), rng.choice([0.0, 0.3, 0.6])
+            nodes["left"][at] = grow(level - 1, cover * part)
+            nodes["right"][at] = grow(level - 1, cover * (1 - part))
+        return at
+
+    grow(depth, 64.0)
+    tree = {c: np.array(v) for c, v in nodes.items()}
+    inner = tree["left"] >= 0
+    for at in np.nonzero(inner)[0][::-1]:  # shares of inner nodes are those of their rows
+        below = [tree["left"][at], tree["right"][at]]
+        tree["share"][at] = sum(tree["share"][b] * tree["cover"][b] for b in below) / tree["cover"][at]
+    return tree | {"leaves": explain.leaves(tree)}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_shapley_values_equal_subsets(seed):
+    rng = random.Random(seed)
+    trees = [random_tree(rng, d, 6) for d in (0, 1, 3, 5)]
+    rows = [{f: rng.choice([0.1, 0.5, 0.9]) for f in range(6) if rng.random() < 0.6} for _ in range(9)] + [{}]
+    idx, val = pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.float64()))
+    _, got, _ = explain._shapley(trees, idx, val)
+    for i, r in enumerate(rows):
+        want = {}
         for t in trees:
-            at = 0
-            while t["left"][at] >= 0:
-                f = int(t["feature"][at])
-                below = t["left"][at] if have.get(f, 0.0) <= t["threshold"][at] else t["right"][at]
-                credit[f] = credit.get(f, 0.0) + (t["share"][below] - t["share"][at]) / len(trees)
-                at = below
-        want |= {(r.id, f): (c, have.get(f, 0.0)) for f, c in credit.items()}
-    got = {(r.id, r.idx): (r.contribution, r.value) for r in explain.contributions(ready, "id", trees).collect()}
-    assert got.keys() == want.keys()
-    assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+            for f, v in shapley_by_subsets(t, r).items():
+                want[f] = want.get(f, 0.0) + v / len(trees)
+        assert all(got[i, f] == pytest.approx(want.get(f, 0.0), abs=1e-12) for f in range(got.shape[1]))
+        total = sum(known_value(t, r, set(range(6))) for t in trees) / len(trees)
+        assert got[i].sum() + np.mean([t["share"][0] for t in trees]) == pytest.approx(total, abs=1e-12)
+
+
+def test_shapley_with_sides_that_no_row_took():
+    tree = {"left": np.array([1, 3, -1, -1, -1]), "right": np.array([2, 4, -1, -1, -1]), "feature": np.array([0, 1, -1, -1, -1]),
+            "threshold": np.zeros(5), "share": np.array([0.25, 0.25, 0.9, 0.25, 0.6]), "cover": np.array([8.0, 8.0, 0.0, 8.0, 0.0])}
+    tree["leaves"] = explain.leaves(tree)
+    rows = [{}, {0: 1.0}, {1: 1.0}, {0: 1.0, 1: 1.0}]
+    idx, val = pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.float64()))
+    _, got, _ = explain._shapley([tree], idx, val)
+    assert got.tolist() == [pytest.approx([shapley_by_subsets(tree, r)[f] for f in (0, 1)]) for r in rows]
 
 
 def test_explanation_shape(clf, lines):
