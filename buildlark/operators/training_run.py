@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buildlark.functions import logtext, times
-from buildlark.operators import builds_model as BM
 from buildlark.operators import models
+from buildlark.operators import sequence_model as SM
 from buildlark.operators import tables
 
 SEQUENCE = "Sequence"
@@ -21,7 +21,7 @@ class Run:
     multi_model_metrics: DataFrame
     model_metrics: DataFrame
     training_history: DataFrame
-    build_model: BM.BuildModel | None = None
+    build_model: SM.SequenceModel | None = None
 
 
 def join_cv(test: DataFrame, cv: DataFrame) -> DataFrame:
@@ -90,16 +90,16 @@ def train_models(
 def _add_sequence_model(run: Run, lines: DataFrame, labels: DataFrame, run_id: Column, at: Column) -> Run:
     dealt = models.stratified(labels, "label", "build", 11, "_part")
     fit, held = dealt.where("_part <> 0").drop("_part"), dealt.where("_part = 0").drop("_part")
-    fitted = BM.train(lines, fit)
+    fitted = SM.train(lines, fit)
     if fitted is None:
         return run
     n_fit, n_held = fit.count(), held.count()
     curve = fitted.curve.select(
         F.concat(run_id, F.format_string("_sequence_ep%02d", "epoch")).alias("model_version"), "epoch",
         "accuracy", "precision", "recall", "f1_score", "train_loss", "val_loss", "learning_rate",
-        F.lit(n_fit).alias("training_samples"), F.lit(BM.BATCH_SIZE).alias("batch_size"), at.alias("created_at"),
+        F.lit(n_fit).alias("training_samples"), F.lit(SM.BATCH_SIZE).alias("batch_size"), at.alias("created_at"),
     )
-    row = BM.evaluate(fitted, lines.join(held.select("build"), "build", "left_semi"), held).select(
+    row = SM.evaluate(fitted, lines.join(held.select("build"), "build", "left_semi"), held).select(
         F.lit(SEQUENCE).alias("model_name"), run_id.alias("training_run"),
         "accuracy", "precision", "recall", "f1_score", "roc_auc",
         F.col("tp").alias("true_positives"), F.col("tn").alias("true_negatives"),

@@ -14,6 +14,7 @@ from buildlark.operators import forecast as FC
 from buildlark.operators import models as ML
 from buildlark.operators import predict as P
 from buildlark.operators import rollups as R
+from buildlark.operators import sequence_model as SM
 from buildlark.operators import tables, training_run
 from buildlark.plans import views
 from buildlark.plans.mining_sql import sql_mined
@@ -70,6 +71,29 @@ def evaluate(spark, sf):
     return _run(spark, sf).multi_model_metrics.drop("feature_importance")
 
 
+_BUILD_LABELS = """
+SELECT build, (count_if(starts_with(line, 'FATAL') OR contains(line, 'refused')) >= 2) :: int AS label FROM build_events WHERE pos >= 12 GROUP BY 1"""
+
+_DEALT = f"""
+dealt AS (SELECT is_anomaly, (row_number() OVER (PARTITION BY is_anomaly ORDER BY md5('7|' || id), id) - 1) % 5 AS part FROM labelled_lines),
+build_labels AS ({_BUILD_LABELS}),
+builds_dealt AS (SELECT label, (row_number() OVER (PARTITION BY label ORDER BY md5('11|' || build), build) - 1) % 5 AS part FROM build_labels),
+models(model_name) AS (VALUES {", ".join(f"('{m}')" for m in ML.MODEL_ORDER)}),
+samples AS (
+  SELECT model_name, count_if(part = 0) :: bigint AS test_samples, count_if(part <> 0) :: bigint AS training_samples, count_if(part = 0 AND is_anomaly) :: bigint AS positives
+  FROM dealt, models GROUP BY 1
+  UNION ALL SELECT '{training_run.SEQUENCE}', count_if(part = 0), count_if(part <> 0), count_if(part = 0 AND label = 1) FROM builds_dealt)"""
+
+
+@query("ml3_evaluated_samples", with_views(f"WITH {_DEALT} SELECT * FROM samples"))
+def evaluated_samples(spark, sf):
+    """Rows every model was fitted and evaluated on; the confusion counts must add up to them."""
+    m = _run(spark, sf).multi_model_metrics
+    tp, fp, tn, fn = (F.col(f"{a}_{b}") for a, b in (("true", "positives"), ("false", "positives"), ("true", "negatives"), ("false", "negatives")))
+    return m.select("model_name", (tp + fp + tn + fn).cast("long").alias("test_samples"), F.col("training_samples").cast("long").alias("training_samples"),
+                    (tp + fn).cast("long").alias("positives"))
+
+
 @query("ml4_score_lines")
 def score_lines(spark, sf):
     lines = views.labelled_lines(spark, sf)
@@ -123,6 +147,18 @@ def explain(spark, sf):
     )
 
 
+@query("xpl1_additivity", with_views("SELECT id, is_anomaly, 0.0e0 AS off FROM labelled_lines"))
+def additivity(spark, sf):
+    """How far the mean share plus all Shapley values of a line is from the forest's own score."""
+    clf, lines = _run(spark, sf).classifier, views.labelled_lines(spark, sf)
+    ready = settle(ML.featurise(lines, "log_text", clf).select("id", F.lit(0).alias("label"), "features"), "featurised")
+    trees = X._trees(X.node_table(spark, clf.models[ML.RF]))
+    total = X.contributions(ready, "id", trees).groupBy("id").agg((F.first("base_value") + F.sum("contribution")).alias("total"))
+    own = ML.predictions(clf.models[ML.RF], ready, "id").select("id", "p1")
+    off = F.abs(F.round(F.col("total") - F.col("p1"), 6))
+    return lines.select("id", "is_anomaly").join(total, "id", "left").join(own, "id", "left").select("id", "is_anomaly", off.alias("off"))
+
+
 @query("set2_stacked_vectors")
 def stacked_vectors(spark, sf):
     """Width and filled cells of each line's stacked feature vector."""
@@ -154,13 +190,29 @@ def trend_check(spark, sf):
 def learning_curve(spark, sf):
     fitted = _run(spark, sf).build_model
     if fitted is None:  # fewer than fifty builds to train on
-        return spark.createDataFrame([], BM.CURVE)
+        return spark.createDataFrame([], SM.CURVE)
     return fitted.curve
 
 
+@query("seq2_compare_models")
+def compare_build_models(spark, sf):
+    """Held-out figures of the model trained by epochs and of boosted trees over escalation figures, on the same builds."""
+    lines, labels = views.build_events(spark, sf), settle(_build_labels(spark, sf), "build-labels")
+    dealt = settle(ML.stratified(labels, "label", "build", 11, "part"), "dealt")
+    fit, held = dealt.where("part <> 0").drop("part"), dealt.where("part = 0").drop("part")
+    own = lines.join(held.select("build"), "build", "left_semi")
+    out = []
+    for name, kind, fitted in (("epochs", SM, _run(spark, sf).build_model), ("boosted", BM, BM.train(lines, fit))):
+        if fitted is not None:
+            out.append(kind.evaluate(fitted, own, held).select(F.lit(name).alias("kind"), "accuracy", "precision", "recall", "f1_score", "roc_auc"))
+    if not out:
+        return spark.createDataFrame([], "kind string, accuracy double, precision double, recall double, f1_score double, roc_auc double")
+    return out[0].unionByName(out[1])
+
+
 @query("seq3_score_builds")
 def score_builds(spark, sf):
-    return BM.score(_run(spark, sf).build_model, views.build_events(spark, sf))
+    return SM.score(_run(spark, sf).build_model, views.build_events(spark, sf))
 
 
 # --- whole jobs ----------------------------------------------------------------------------
@@ -339,6 +391,18 @@ def metrics_rows(spark, sf):
     return out
 
 
+@query("snk4_stored_samples", with_views(f"""
+WITH {_DEALT}, n AS (SELECT any_value(training_samples) AS lines FROM samples WHERE model_name <> '{training_run.SEQUENCE}'),
+b AS (SELECT training_samples AS builds FROM samples WHERE model_name = '{training_run.SEQUENCE}')
+SELECT 'multi_model_metrics' AS table_name, {len(ML.MODEL_ORDER) + 1} :: bigint AS n_rows, lines * {len(ML.MODEL_ORDER)} + builds AS training_samples FROM n, b
+UNION ALL SELECT 'model_metrics', 1, lines FROM n
+UNION ALL SELECT 'training_history', {len(ML.MODEL_ORDER) + SM.EPOCHS}, lines * {len(ML.MODEL_ORDER)} + builds * {SM.EPOCHS} FROM n, b"""))
+def stored_samples(spark, sf):
+    """Rows of each metrics table of the run, read back, and the training samples they name."""
+    return metrics_rows(spark, sf).groupBy("table_name").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("training_samples").cast("long").alias("training_samples"))
+
+
 @query("snk5_replace", with_views("SELECT id, log_text, is_anomaly FROM labelled_lines"))
 def replace(spark, sf):
     """Loading twice leaves one copy."""
@@ -360,6 +424,12 @@ def save_and_load(spark, sf):
     return a.join(b, "id")
 
 
+@query("snk7_scores_survive", with_views("SELECT id, true AS same FROM labelled_lines"))
+def scores_survive(spark, sf):
+    """Whether a stored and reloaded classifier gives a line the score it had."""
+    return save_and_load(spark, sf).select("id", (F.abs(F.col("before") - F.col("after")) < 1e-12).alias("same"))
+
+
 @query("snk8_add_missing_column", with_views("""
 SELECT id, pipeline_id, is_anomaly, risk_level, cast(NULL AS varchar) AS shap_explanation FROM predictions"""))
 def add_missing_column(spark, sf):
@@ -378,6 +448,15 @@ def backfill_explanations(spark, sf):
     return out.select("id", F.to_json("shap_explanation").alias("explanation"))
 
 
+@query("snk9_backfilled", with_views("SELECT id, log_text AS log_snippet, true AS filled FROM labelled_lines"))
+def backfilled(spark, sf):
+    """Predictions without an explanation have one afterwards, and nothing else has changed."""
+    lines = views.labelled_lines(spark, sf).select("id", F.col("log_text").alias("log_snippet"))
+    rows = tables.conform(lines, schemas.TABLES["predictions"])
+    out = tables.backfill_explanations(rows, _run(spark, sf).classifier)
+    return out.select("id", "log_snippet", (F.size("shap_explanation.features") > 0).alias("filled"))
+
+
 @query("snk10_acknowledge", with_views("""
 SELECT prediction_id AS id, line, severity, prediction_id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') AS acknowledged FROM alerts"""))
 def acknowledge(spark, sf):

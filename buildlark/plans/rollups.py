@@ -272,6 +272,19 @@ def upsert_keys(spark, sf):
     return fresh.join(stored, "build_number", "left_anti").select("job_name", "build_number")
 
 
+@query("jn5_two_key_lookup", with_views("""
+SELECT job_name, build_number, build_number % 2 = 0 AS stored FROM builds WHERE status <> 'IN_PROGRESS'"""))
+def two_key_lookup(spark, sf):
+    """Which finished builds are stored by job and number; every number is also stored under another job."""
+    every = views.builds(spark, sf)
+    number = F.col("build_number")
+    stored = every.where(number % 2 == 0).select("job_name", "build_number").unionByName(
+        every.select(F.concat(F.lit("other-"), "job_name").alias("job_name"), "build_number"))
+    known = stored.distinct().withColumn("stored", F.lit(True))
+    fresh = every.where("status <> 'IN_PROGRESS'").select("job_name", "build_number")
+    return fresh.join(known, ["job_name", "build_number"], "left").select("job_name", "build_number", F.coalesce("stored", F.lit(False)).alias("stored"))
+
+
 @query("jn7_alerts_with_predictions", with_views("""
 SELECT a.prediction_id, a.line, a.severity, p.risk_level, p.confidence FROM alerts a LEFT JOIN predictions p ON a.prediction_id = p.id"""))
 def alerts_with_predictions(spark, sf):
