@@ -228,30 +228,53 @@ def _requests(spark, sf) -> DataFrame:
 
 _SCORED = f"""
 req AS (SELECT event_id AS id, job AS pipeline_id, CASE WHEN contains(msg, 'Request processed') THEN 'Build log from ' || job ELSE raw END AS logs, ts AS created_at FROM event_logs),
-ahead AS (SELECT job AS pipeline_id, cast(count(*) % 7 AS integer) AS predicted_failures FROM event_logs GROUP BY 1),
-v AS (SELECT req.*, predicted_failures, {views.sql_error_matches('logs')} AS n FROM req JOIN ahead USING (pipeline_id)),
+hourly AS ({_HOURLY}),
+differences AS (SELECT job, hour, failures AS y, failures - lag(failures) OVER (PARTITION BY job ORDER BY hour) AS d FROM hourly),
+paired AS (SELECT *, lag(d) OVER (PARTITION BY job ORDER BY hour) AS b FROM differences),
+sums AS (SELECT job, hour, y, d, count(*) OVER u AS n_points, count(b) OVER u :: double AS n, coalesce(sum(b) OVER u, 0) :: double AS sx,
+  coalesce(sum(CASE WHEN b IS NOT NULL THEN d END) OVER u, 0) :: double AS sy, coalesce(sum(b * b) OVER u, 0) :: double AS sxx,
+  coalesce(sum(d * b) OVER u, 0) :: double AS sxy, coalesce(sum(CASE WHEN b IS NOT NULL THEN d * d END) OVER u, 0) :: double AS syy
+  FROM paired WINDOW u AS (PARTITION BY job ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+sloped AS (SELECT *, CASE WHEN n * sxx - sx * sx > 0 THEN (n * sxy - sx * sy) / (n * sxx - sx * sx) ELSE 0e0 END AS slope FROM sums),
+based AS (SELECT *, (sy - slope * sx) / greatest(n, 1e0) AS base FROM sloped),
+fitted AS (SELECT *, y + base + slope * d AS mean, sqrt(greatest(0e0, (syy - base * sy - slope * sxy) / greatest(n, 1e0))) AS sigma FROM based),
+ahead AS (SELECT job AS pipeline_id, hour + INTERVAL 1 HOUR AS valid_from,
+  CASE WHEN n_points < 10 THEN 0 ELSE floor(greatest(0e0, round(mean, 6))) END :: integer AS predicted_failures,
+  CASE WHEN n_points < 10 THEN 0 ELSE floor(greatest(0e0, round(mean - 1.96e0 * sigma, 6))) END :: integer AS failure_lower_bound,
+  CASE WHEN n_points < 10 THEN 0 ELSE floor(greatest(0e0, round(mean + 1.96e0 * sigma, 6))) END :: integer AS failure_upper_bound FROM fitted),
+v AS (SELECT req.*, coalesce(predicted_failures, 0) AS predicted_failures, failure_lower_bound, failure_upper_bound, {views.sql_error_matches('logs')} AS n
+  FROM req ASOF LEFT JOIN ahead ON req.pipeline_id = ahead.pipeline_id AND req.created_at >= ahead.valid_from),
 s AS (SELECT *, n > 0 AS is_anomaly, CASE WHEN n > 0 THEN n * (-0.5e0) ELSE 0.0e0 END AS anomaly_score,
   CASE WHEN n > 0 THEN least(0.9e0, 0.5e0 + 0.1e0 * n) ELSE 0.85e0 END AS confidence FROM v),
 r AS (SELECT *, confidence * 0.6e0 + CASE WHEN predicted_failures > 3 THEN 0.4e0 ELSE 0.0e0 END AS raw_risk FROM s),
 risked AS (SELECT *, CASE WHEN raw_risk > 0.7e0 THEN 'HIGH' WHEN raw_risk > 0.4e0 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM r)"""
 
 
+def _forecasts(spark, sf) -> DataFrame:
+    """Forecasts as they are stored hour by hour, read back."""
+    return settle(FC.rolling(_hourly(spark, sf), "job").withColumnRenamed("job", "pipeline_id"), "forecasts")
+
+
 def _scored(spark, sf) -> DataFrame:
-    ahead = views.event_logs(spark, sf).groupBy(F.col("job").alias("pipeline_id")).agg(
-        (F.count(F.lit(1)) % 7).cast("int").alias("predicted_failures")
-    )
-    return P.score_logs(_requests(spark, sf), None, ahead)
+    return P.score_logs(_requests(spark, sf), None, _forecasts(spark, sf))
+
+
+@query("fc1_rolling", with_views(f"""
+WITH {_SCORED} SELECT pipeline_id AS job, strftime(valid_from, '%Y-%m-%d %H') AS valid_from, predicted_failures, failure_lower_bound AS lower_bound, failure_upper_bound AS upper_bound FROM ahead"""))
+def rolling_forecasts(spark, sf):
+    out = FC.rolling(_hourly(spark, sf), "job")
+    return out.select("job", F.date_format("valid_from", "yyyy-MM-dd HH").alias("valid_from"), "predicted_failures", "lower_bound", "upper_bound")
 
 
 @query("pip1_score_logs", with_views(f"""
 WITH {_SCORED}
-SELECT id, pipeline_id, logs, is_anomaly, anomaly_score, confidence, predicted_failures, raw_risk, risk_level, round(raw_risk, 2) AS risk_score,
+SELECT id, pipeline_id, logs, is_anomaly, anomaly_score, confidence, predicted_failures, failure_lower_bound, failure_upper_bound, raw_risk, risk_level, round(raw_risk, 2) AS risk_score,
   CASE split_part(substr(logs, 21), ' ', 1) WHEN 'WARN' THEN 'WARNING' WHEN 'from' THEN 'UNKNOWN' ELSE
     CASE WHEN starts_with(logs, 'Build') THEN 'UNKNOWN' ELSE split_part(substr(logs, 21), ' ', 1) END END AS log_level FROM risked"""))
 def score_logs(spark, sf):
     out = P.parse_first_lines(_scored(spark, sf), "logs")
     return out.select("id", "pipeline_id", "logs", "is_anomaly", "anomaly_score", "confidence", "predicted_failures",
-                      "raw_risk", "risk_level", "risk_score", F.col("parsed.log_level").alias("log_level"))
+                      "failure_lower_bound", "failure_upper_bound", "raw_risk", "risk_level", "risk_score", F.col("parsed.log_level").alias("log_level"))
 
 
 @query("pip1_score_logs_with_model")
@@ -310,12 +333,12 @@ def training_rows(spark, sf):
 
 # --- stored tables -----------------------------------------------------------------------------
 @query("snk1_append_predictions", with_views(f"""
-WITH {_SCORED} SELECT id, pipeline_id, left(logs, 500) AS log_snippet, is_anomaly, confidence AS anomaly_confidence, predicted_failures, risk_level FROM risked"""))
+WITH {_SCORED} SELECT id, pipeline_id, left(logs, 500) AS log_snippet, is_anomaly, confidence AS anomaly_confidence, predicted_failures, failure_lower_bound, failure_upper_bound, risk_level FROM risked"""))
 def append_predictions(spark, sf):
     root = new_table_path(spark, "store")
     tables.store_predictions(_scored(spark, sf), root)
     return stored_table(spark, root, "predictions").select(
-        "id", "pipeline_id", "log_snippet", "is_anomaly", "anomaly_confidence", "predicted_failures", "risk_level"
+        "id", "pipeline_id", "log_snippet", "is_anomaly", "anomaly_confidence", "predicted_failures", "failure_lower_bound", "failure_upper_bound", "risk_level"
     )
 
 

@@ -295,3 +295,39 @@ def test_last_value_before(spark, chunk):
         for _, p, v in [r for r in rows if r[0] == g]:
             assert got[g, p] == last
             last = v if v is not None else last
+
+
+def test_rolling_forecast_equals_a_fit_by_hand(spark):
+    """Each hour's forecast is that of a least-squares line fitted to what was known then."""
+    rng = random.Random(5)
+    rows = [("a", h, rng.randrange(9)) for h in range(60)] + [("b", h, 4) for h in range(20)] + [("c", 0, 3)] + [("a", 60, -1)]
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    df = spark.createDataFrame(rows, "job string, h int, failures int").withColumn("hour", start + F.make_interval(hours=F.col("h")))
+    got = {(r.job, r.valid_from.day * 24 + r.valid_from.hour - 25): r for r in forecast.rolling(df, "job").collect()}
+    assert len(got) == 81
+    for (job, h), r in got.items():
+        y = np.array([v for j, k, v in rows if j == job and k <= h], float)
+        assert r.n_points == len(y)
+        if len(y) < 10:
+            want = (0, 0, 0)
+        else:
+            d = np.diff(y)
+            slope, base = np.polyfit(d[:-1], d[1:], 1) if d[:-1].std() else (0.0, d[1:].mean())
+            mean = y[-1] + base + slope * d[-1]
+            sigma = np.sqrt(((d[1:] - base - slope * d[:-1]) ** 2).mean())
+            want = tuple(int(max(0, np.round(v, 6))) for v in (mean, mean - 1.96 * sigma, mean + 1.96 * sigma))
+        assert (r.predicted_failures, r.lower_bound, r.upper_bound) == want
+
+
+def test_requests_get_the_forecast_of_their_time(spark):
+    from buildlark.operators import predict
+
+    f = [("p", "2024-01-01 01:00:00", 1), ("p", "2024-01-01 02:00:00", 2), ("p", "2024-03-01 00:00:00", 3), ("q", "2024-01-01 00:00:00", 9), (None, "2024-01-01 00:00:00", 8)]
+    ahead = spark.createDataFrame(f, "pipeline_id string, at string, predicted_failures int").select(
+        "pipeline_id", F.col("at").cast("timestamp").alias("valid_from"), "predicted_failures", (F.col("predicted_failures") - 1).alias("lower_bound"), F.lit(10).alias("upper_bound"))
+    r = [(1, "p", "2024-01-01 00:59:59", None), (2, "p", "2024-01-01 01:00:00", 1), (3, "p", "2024-01-01 01:59:59.999999", 1), (4, "p", "2024-02-09 00:00:00", 2),
+         (5, "p", "2025-01-01 00:00:00", 3), (6, "q", "2024-01-05 00:00:00", 9), (7, "r", "2024-01-05 00:00:00", None), (8, None, "2024-01-05 00:00:00", None), (9, "p", None, None)]
+    asked = spark.createDataFrame(r, "id long, pipeline_id string, at string, want int").withColumn("created_at", F.col("at").cast("timestamp"))
+    got = predict.as_of(asked, ahead).collect()
+    assert len(got) == 9 and all(x.predicted_failures == x.want for x in got)
+    assert all((x.failure_lower_bound, x.failure_upper_bound) == ((None, None) if x.want is None else (x.want - 1, 10)) for x in got)
