@@ -16,7 +16,6 @@ import json
 import os
 import sys
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from types import SimpleNamespace
@@ -135,32 +134,82 @@ def _look_up(keys: pa.Table, index: pa.Table) -> pa.Table:
     })
 
 
-_encoders: dict[tuple[str, bool], PartEncoder | SimpleNamespace] = {}
+_encoders: dict[tuple[str, bool, int], PartEncoder | SimpleNamespace] = {}
 
+#: Parts that are encoded as one text.
+TOGETHER = 1_000
 
-def library_encoder(definition: str, special_as_text: bool) -> PartEncoder | SimpleNamespace:
-    """Encodes with the tokenizers library, in this Python worker; special strings are ordinary text or get their id.
 
-    Texts are encoded whole if an added token holds white space or takes in what is around it."""
-    if (definition, special_as_text) not in _encoders:
+def _byte_lengths(spec: dict, vocab: dict[str, int]) -> np.ndarray | None:
+    """Bytes that each id stands for, if the tokenizer is plain byte-level BPE, whose ids cover a text exactly."""
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix")
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    if spec.get("normalizer") or not plain or model.get("type") != "BPE" or any(model.get(k) for k in odd):
+        return None
+    added = {a["content"] for a in spec.get("added_tokens") or []}
+    out = np.zeros(max(vocab.values()) + 1, np.int64)
+    for token, i in vocab.items():
+        out[i] = len(token.encode()) if token in added else len(token)
+    return out
+
+
+def library_encoder(definition: str, special_as_text: bool, width: int = 4) -> PartEncoder | SimpleNamespace:
+    """Encodes with the tokenizers library, in this Python worker, to ids of ``width`` bytes; special strings are
+    ordinary text or get their id.
+
+    Parts that follow a cut are encoded many at a time as one text, as most of the library's time is spent per
+    call; their ids are told apart by the bytes they stand for. Texts are encoded whole if an added token holds
+    white space or takes in what is around it."""
+    key = (definition, special_as_text, width)
+    if key not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_str(definition)
+        own, spec = Tokenizer.from_str(definition), json.loads(definition)
         own.encode_special_tokens = special_as_text
+        kind = f"<u{width}"
+        lengths = _byte_lengths(spec, own.get_vocab())
 
-        def encode(inner: list[str], heads: list[str]) -> list[bytes]:
+        def separately(texts: list[str]) -> list[bytes]:
             out = []
-            texts = inner + heads
             for k in range(0, len(texts), 5_000):
-                out += [array("I", e.ids).tobytes() for e in own.encode_batch_fast(texts[k:k + 5_000], add_special_tokens=False)]
+                out += [np.array(e.ids, kind).tobytes() for e in own.encode_batch_fast(texts[k:k + 5_000], add_special_tokens=False)]
             return out
 
-        added = json.loads(definition).get("added_tokens") or []
+        def together(parts: list[str]) -> list[bytes]:
+            ids = np.array(own.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, kind)
+            ends = np.cumsum(lengths[ids])
+            wanted = np.cumsum(np.fromiter((len(p) if p.isascii() else len(p.encode()) for p in parts), np.int64, len(parts)))
+            at = np.searchsorted(ends, wanted)
+            if ends[-1] != wanted[-1] or (ends[at] != wanted).any():
+                return separately(parts)
+            cuts = ((at + 1) * ids.itemsize).tolist()
+            raw = ids.tobytes()
+            return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+
+        def encode(inner: list[str], heads: list[str]) -> list[bytes]:
+            if lengths is None:
+                return separately(inner + heads)
+            # What ends in white space may not be followed by another part.
+            alone = [i for i, p in enumerate(inner) if p[-1].isspace()]
+            apart = set(alone)
+            joined = [i for i in range(len(inner)) if i not in apart] if alone else range(len(inner))
+            out: list[bytes] = [b""] * len(inner)
+            for k in range(0, len(joined), TOGETHER):
+                some = joined[k:k + TOGETHER]
+                for i, ids in zip(some, together([inner[i] for i in some])):
+                    out[i] = ids
+            rest = separately([inner[i] for i in alone] + heads)
+            for i, ids in zip(alone, rest):
+                out[i] = ids
+            return out + rest[len(alone):]
+
+        added = spec.get("added_tokens") or []
         whole = any(a.get("lstrip") or a.get("rstrip") or any(map(str.isspace, a["content"])) for a in added)
-        made = SimpleNamespace(encode=lambda texts: encode([], texts)) if whole else PartEncoder(encode)
-        _encoders[definition, special_as_text] = made
-    return _encoders[definition, special_as_text]
+        made = SimpleNamespace(encode=separately) if whole else PartEncoder(encode)
+        _encoders[key] = made
+    return _encoders[key]
 
 
 def _encode(definition: str, end_id: int, width: int, special_as_text: bool) -> Callable:
@@ -168,7 +217,7 @@ def _encode(definition: str, end_id: int, width: int, special_as_text: bool) ->
         import gc
 
         gc.disable()
-        encoder, kind = library_encoder(definition, special_as_text), f"<u{width}"
+        encoder, kind = library_encoder(definition, special_as_text, width), f"<u{width}"
         last, repeat, block, held, size = object(), 0, None, [], 0
 
         def out() -> pa.RecordBatch:
@@ -187,7 +236,7 @@ def _encode(definition: str, end_id: int, width: int, special_as_text: bool) ->
                         block = shards[i] << 32
                     repeat = repeat + 1 if ids[i] == last else 0
                     last = ids[i]
-                    held.append((ids[i], repeat, np.frombuffer(raw, "<u4").astype(kind).tobytes() + end))
+                    held.append((ids[i], repeat, raw + end))
                     size += len(held[-1][2])
                     if size >= BLOCK_IDS * width:
                         yield out()
@@ -212,7 +261,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, special_as_text
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = f.read()
-    width = 2 if max(end_id + 1, Tokenizer.from_str(definition).get_vocab_size()) <= 1 << 16 else 4
+    width = 2 if max(end_id, *Tokenizer.from_str(definition).get_vocab().values()) < 1 << 16 else 4
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = slim.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     order = F.col("doc_id").asc_nulls_first()

@@ -119,3 +119,25 @@ def test_query_reads_all_documents(spark, sf):
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     rows = sorted(entry.queries()["op4_token_files"](spark, sf).collect(), key=lambda r: r.doc_id)
     assert len(rows) == n and all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:])) and rows[0].start == 0
+
+
+def test_parts_encoded_together_equal_the_library(monkeypatch):
+    monkeypatch.setattr(token_files, "TOGETHER", 3)
+    definition, own = open(JSON).read(), Tokenizer.from_file(JSON)
+    texts = [
+        "", " ", "\n", "a b c d e f g", "über straße  naïve\tcafé  x", "trailing space ", "\n\nlines\n here \n",
+        "<|endoftext|> a<|endoftext|>b <|endoftext|>", "don't we'll I'M 12 345.67 !!! 日本 語 \U0001f600 \U0001f600", "x\x1cy z\x85w q​v",
+    ]
+    for width in (2, 4):
+        got = token_files.library_encoder(definition, False, width).encode(texts + texts[::-1])
+        assert [np.frombuffer(g, f"<u{width}").tolist() for g in got] == [
+            own.encode(t, add_special_tokens=False).ids for t in texts + texts[::-1]]
+
+
+def test_tokenizer_with_a_normalizer_is_encoded_part_by_part():
+    spec = json.loads(open(JSON).read())
+    spec["normalizer"] = {"type": "Lowercase"}
+    definition = json.dumps(spec)
+    text = "Some Words İN Upper case"
+    got = token_files.library_encoder(definition, False).encode([text])
+    assert np.frombuffer(got[0], "<u4").tolist() == Tokenizer.from_str(definition).encode(text, add_special_tokens=False).ids
