@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -87,3 +89,13 @@ def byte_texts(batch: pa.RecordBatch, lower: bool = False, column: str = "text")
         yield start, held
     # The worker lives on; what Arrow has freed goes back to the system.
     pa.default_memory_pool().release_unused()
+
+
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with columns ``c0``, ``c1``, ..., so that no name clashes with one that is added."""
+    return rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
