@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from buildlark.llm.words import numbered, quoted
+
 #: Hex digits of the key that make up a range: 16 ** 3 ranges in each source.
 RANGE_DIGITS = 3
 
@@ -64,14 +66,22 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed
     rows count as rows; rows alike in doc_id and size are interchangeable. An empty table gives no
     rows. Columns of the input that have the name of a result column are replaced.
     """
-    docs = docs.drop(*OUT)
-    key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    kept = [c for c in docs.columns if c not in OUT]
+    out = _taken(docs.select(*map(quoted, kept)), weights, most, seed)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *OUT)
+
+
+def _taken(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: int = 42) -> DataFrame:
+    """The columns of ``docs`` as ``c0``, ``c1``, ..., and those of the mix."""
+    names = docs.columns
+    doc_id, text, own = (f"c{names.index(c)}" for c in ("doc_id", "text", "source"))
+    key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
     sized = (
-        docs.withColumn("size", words_in(F.col("text").cast("string")))
+        numbered(docs).withColumn("size", words_in(F.col(text).cast("string")))
         .withColumn("_key", key)
         .withColumn("_range", F.substring("_key", 1, RANGE_DIGITS))
     )
-    ranges = sized.groupBy("source", "_range").agg(F.sum("size").alias("_size"))
+    ranges = sized.groupBy(F.col(own).alias("source"), "_range").agg(F.sum("size").alias("_size"))
     along = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     targets = _targets(ranges, weights, most)
     starts = (
@@ -79,7 +89,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed
         .join(targets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
         .select(F.col("a.source").alias("_source"), F.col("a._range").alias("_r"), "_start", "source_size", "target")
     )
-    inside = Window.partitionBy("source", "_range").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(own, "_range").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, -1)
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size")).cast("long")).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size")
@@ -87,9 +97,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
     return (
         sized.withColumn("_inside", F.sum("size").over(inside))
-        .join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_r")))
+        .join(starts, F.col(own).eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_r")))
         .withColumn("taken", (epochs * F.col("size") + part).cast("long"))
-        .select(*docs.columns, *OUT)
     )
 
 
@@ -98,19 +107,20 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
 
     A row is repeated once per complete epoch; the row cut by the budget follows with the words it
     was cut to, joined by one space. Rows of which nothing is taken are left out, except those
-    without any words, which take nothing from the budget and stay once.
+    without any words, which take nothing from the budget and stay once. Columns keep their values
+    whatever their names, but for ``n_chars``, which follows the text. NULL ids and sources, repeated
+    rows and an empty table are as in ``mix``; a text of any length is one row.
     """
-    out = mix(docs, **options)
+    names = docs.columns
+    out = _taken(docs, **options)
+    text = F.col(f"c{names.index('text')}")
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(1)).cast("int")
     rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0)).cast("int")
-    words = F.slice(F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})")), F.lit(1), rest)
+    words = F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})")), F.lit(1), rest)
     texts = F.concat(
-        F.when(whole > 0, F.array_repeat(F.col("text"), whole)).otherwise(F.array().cast("array<string>")),
+        F.when(whole > 0, F.array_repeat(text, whole)).otherwise(F.array().cast("array<string>")),
         F.when(rest > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>")),
     )
-    names = docs.columns
-    return (
-        out.withColumn("_text", F.explode(texts)).drop("text").withColumnRenamed("_text", "text")
-        .withColumn("n_chars", F.length("text").cast("long") if "n_chars" in names else F.lit(None))
-        .select(*names)
-    )
+    out = out.withColumn("_text", F.explode(texts))
+    now = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return out.select(*[now.get(c, F.col(f"c{i}")).alias(c) for i, c in enumerate(names)])
