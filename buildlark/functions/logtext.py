@@ -27,10 +27,7 @@ SEVERITY = {
     "CRITICAL": 5,
 }
 
-LEVEL_WORDS = (
-    "DEBUG", "INFO", "WARNING", "WARN", "ERROR", "ERR",
-    "FATAL", "CRITICAL", "CRIT", "PANIC", "EXCEPTION", "TIMEOUT",
-)
+LEVEL_PATTERN = r"\b(DEBUG|INFO|WARNING|WARN|ERROR|ERR|FATAL|CRITICAL|CRIT|PANIC|EXCEPTION|TIMEOUT)\b"
 
 LEVEL_ALIASES = {
     "WARN": "WARNING",
@@ -124,7 +121,7 @@ def first_line(blob: Column) -> Column:
 
 def level(line: Column) -> Column:
     """The first level keyword of a line, abbreviations normalised; UNKNOWN without one."""
-    word = F.upper(F.regexp_extract(line, rf"(?iU)\b({'|'.join(LEVEL_WORDS)})\b", 1))
+    word = F.upper(F.regexp_extract(line, "(?iU)" + LEVEL_PATTERN, 1))
     out = F.when(word == "", F.lit("UNKNOWN"))
     for short, full in LEVEL_ALIASES.items():
         out = out.when(word == short, F.lit(full))

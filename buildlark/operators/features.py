@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from buildlark.functions import logtext
-from buildlark.session import settle
 
 # Fixed values.
 TOP_TEMPLATES = 200
@@ -23,6 +22,7 @@ OTHER = "__OTHER__"
 NONE = "__NONE__"
 
 _KINDS = ("tmpl", "svc", "lvl", "num")
+_CELLS = "array<struct<idx: int, term: string, weight: double>>"
 
 
 # ---------------------------------------------------------------------------
@@ -99,8 +99,8 @@ def structured_long(lines: DataFrame, of: DataFrame, key: str, reference_none: b
 # TF-IDF
 # ---------------------------------------------------------------------------
 def with_terms(docs: DataFrame, text: str, out: str) -> DataFrame:
-    """Add the uni- and bigrams of the normalised text, with repeats; words are found once per row."""
-    found = docs.withColumn("_words", logtext.words(logtext.tfidf_text(F.col(text))))
+    """Add the uni- and bigrams of the normalised text, with repeats (NULL: none); words are found once per row."""
+    found = docs.withColumn("_words", logtext.words(logtext.tfidf_text(F.coalesce(F.col(text), F.lit("")))))
     return found.withColumn(out, logtext.unigrams_and_bigrams(F.col("_words"))).drop("_words")
 
 
@@ -127,20 +127,30 @@ def vocabulary(docs: DataFrame, text: str, max_terms: int = MAX_TERMS) -> DataFr
 
 
 def tfidf_long(docs: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
-    """(key, idx, term, weight): sublinear tf times idf, each document scaled to length 1."""
-    # A few thousand rows that are joined twice; written so that the texts are not counted twice.
-    vocab = settle(vocab.select("term", "idx", "idf"), "vocabulary")
-    counted = (
-        with_terms(docs.select(key, text), text, "t").select(key, F.explode("t").alias("term"))
-        .join(F.broadcast(vocab.select("term", "idx")), "term")
-        .groupBy(key, "idx").agg(F.count(F.lit(1)).alias("tf"))
-        .join(F.broadcast(vocab), "idx")
-        .select(key, "idx", "term", ((F.lit(1.0) + F.log("tf")) * F.col("idf")).alias("w"))
-    )
-    # A document has at most one row per kept term here.
-    whole = Window.partitionBy(key)
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(whole))
-    return counted.select(key, "idx", "term", (F.col("w") / norm).alias("weight"))
+    """(key, idx, term, weight): sublinear tf times idf, each document scaled to length 1.
+
+    Every row is a document, counted and weighted within its row, so nothing is shuffled after the
+    vocabulary, of which all terms come to the driver (as many as were asked for in ``vocabulary``).
+    A document without a known term has no row.
+    """
+    known = vocab.select("term", "idx", "idf").orderBy("idx").collect()
+    counted = with_terms(docs.select(F.col(key), F.col(text).alias("_text")), "_text", "_terms").drop("_text")
+    if known:
+        names, idf = pa.array([r.term for r in known]), np.array([r.idf for r in known])
+
+        @F.arrow_udf(_CELLS)
+        def weigh(counts: pa.Array) -> pa.Array:
+            return _cell_lists(counts, names, idf)
+
+        counter = CountVectorizerModel.from_vocabulary(
+            [r.term for r in known], inputCol="_terms", outputCol="_counts"
+        )
+        cells = weigh("_counts")
+        counted = counter.transform(counted)
+    else:
+        cells = F.lit(None).cast(_CELLS)
+    flat = counted.select(key, F.explode(cells).alias("_cell"))
+    return flat.select(key, "_cell.idx", "_cell.term", "_cell.weight")
 
 
 # ---------------------------------------------------------------------------
@@ -192,6 +202,16 @@ def _tfidf_cells(counts: pa.Array, idf: np.ndarray):
     return rows, cols, w / norm[rows]
 
 
+def _cell_lists(counts: pa.Array, names: pa.Array, idf: np.ndarray) -> pa.Array:
+    """The weighted cells of each row as a list; a row without counts has an empty one."""
+    rows, cols, w = _tfidf_cells(counts, idf)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(counts)))]).astype(np.int32)
+    cells = pa.StructArray.from_arrays(
+        [pa.array(cols.astype(np.int32)), names.take(pa.array(cols)), pa.array(w)], names=["idx", "term", "weight"]
+    )
+    return pa.ListArray.from_arrays(pa.array(ends), cells)
+
+
 def vectors(lines: DataFrame, text: str, space: FeatureSpace, out: str = "features") -> DataFrame:
     """Add the feature vector of each line, without a shuffle.
 

@@ -166,12 +166,19 @@ def class_balance(rows: DataFrame, label: str = "is_anomaly") -> DataFrame:
 
 
 def table_inventory(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """Row count and smallest key of each named table; ``tables`` maps name to (table, key)."""
-    rows = [
-        df.agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.col(key)).cast("string").alias("sample_key"))
-        .select(F.lit(name).alias("table_name"), "n_rows", "sample_key")
-        for name, (df, key) in tables.items()
-    ]
+    """Row count, smallest key and the row that has it, as JSON; ``tables`` maps name to (table, key).
+
+    Only the key is read of every row; the whole row is read where the key is the smallest. Of rows
+    that share it the first in order of the JSON is shown. A table without rows has no sample.
+    """
+    rows = []
+    for name, (df, key) in tables.items():
+        first = df.where(F.col(key) == df.agg(F.min(F.col(key))).scalar())
+        sample = first.agg(F.min(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))).scalar()
+        counted = df.agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.col(key)).cast("string").alias("sample_key"))
+        rows.append(counted.select(
+            F.lit(name).alias("table_name"), "n_rows", "sample_key", sample.alias("sample_row")
+        ))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)

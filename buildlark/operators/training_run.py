@@ -24,9 +24,9 @@ class Run:
     build_model: SM.SequenceModel | None = None
 
 
-def join_cv(test: DataFrame, cv: DataFrame) -> DataFrame:
+def join_cv(test: DataFrame, cv: DataFrame, by: tuple[str, ...] = ("model_name",)) -> DataFrame:
     """Held-out figures with the cross-validation figures; NULL where a model has none."""
-    return test.join(cv, "model_name", "left")
+    return test.join(cv, list(by), "left")
 
 
 def _numbered(order: tuple[str, ...]) -> Column:

@@ -11,6 +11,7 @@ from buildlark.operators import builds as B
 from buildlark.operators import metrics as M
 from buildlark.operators import ordering
 from buildlark.operators import rollups as R
+from buildlark.operators.training_run import join_cv
 from buildlark.plans import views
 from buildlark.plans.registry import query
 from buildlark.plans.views import AS_OF, with_views
@@ -259,7 +260,7 @@ def cv_onto_test(spark, sf):
     runs = views.model_runs(spark, sf)
     test = runs.groupBy("training_run", "model_name").agg(F.max("f1_score").alias("f1_score"))
     cv = runs.where("f1_score > 0.5").groupBy("training_run", "model_name").agg(F.min("f1_score").alias("cv_f1"))
-    return test.join(cv, ["training_run", "model_name"], "left")
+    return join_cv(test, cv, ("training_run", "model_name"))
 
 
 @query("jn5_upsert_keys", with_views("""
@@ -410,14 +411,28 @@ def class_balance(spark, sf):
     return R.class_balance(views.labelled_lines(spark, sf)).drop("class_weight")
 
 
+# Key and time column of each table.
+_INVENTORY = {
+    "events": ("event_id", "ts"), "orders": ("o_orderkey", "o_orderdate"), "lineitem": ("l_orderkey", "l_shipdate"),
+    "documents": ("doc_id", None), "conversations": ("conv_id", None),
+}
+
+
+def _stamps_as_text(ts: str | None) -> str:
+    return f"* REPLACE (strftime({ts}, '%Y-%m-%d %H:%M:%S') AS {ts})" if ts else "*"
+
+
 @query("ag12_table_inventory", "\nUNION ALL ".join(
-    f"SELECT '{t}' AS table_name, count(*) AS n_rows, cast(min({k}) AS varchar) AS sample_key FROM {t}"
-    for t, k in (("events", "event_id"), ("orders", "o_orderkey"), ("lineitem", "l_orderkey"),
-                 ("documents", "doc_id"), ("conversations", "conv_id"))))
+    f"SELECT '{t}' AS table_name, count(*) AS n_rows, cast(min({k}) AS varchar) AS sample_key, "
+    f"(SELECT min(cast(to_json(r) AS varchar)) FROM (SELECT {_stamps_as_text(ts)} FROM {t} "
+    f"WHERE {k} = (SELECT min({k}) FROM {t})) r) AS sample_row FROM {t}"
+    for t, (k, ts) in _INVENTORY.items()))
 def table_inventory(spark, sf):
-    keys = {"events": "event_id", "orders": "o_orderkey", "lineitem": "l_orderkey",
-            "documents": "doc_id", "conversations": "conv_id"}
-    return R.table_inventory({t: (views.table(spark, sf, t), k) for t, k in keys.items()})
+    def shown(t, ts):
+        table = views.table(spark, sf, t)
+        return table.withColumn(ts, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")) if ts else table
+
+    return R.table_inventory({t: (shown(t, ts), k) for t, (k, ts) in _INVENTORY.items()})
 
 
 @query("ag15_top_services", with_views(r"""

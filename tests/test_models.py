@@ -42,6 +42,21 @@ def test_tfidf_long_matches_plain_formula(spark):
         assert got[1, t] == pytest.approx(v / norm)
 
 
+def test_tfidf_long_shuffles_nothing_and_takes_any_text(spark):
+    docs = spark.createDataFrame(
+        [(1, "alpha beta"), (2, ""), (3, None), (4, "unknown words"), (None, "beta " * 30_000)], "id int, t string"
+    )
+    vocab = features.vocabulary(docs.where("id = 1"), "t")
+    out = features.tfidf_long(docs, "id", "t", vocab)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = out.collect()
+    assert {r.id for r in rows} == {1, None} and out.columns == ["id", "idx", "term", "weight"]
+    assert [(r.term, r.weight) for r in rows if r.id is None] == [("beta", pytest.approx(1.0))]
+    empty = features.vocabulary(docs.where("id = 2"), "t")
+    none = features.tfidf_long(docs, "id", "t", empty)
+    assert none.collect() == [] and none.schema == out.schema
+
+
 def test_vector_equals_long_form(spark):
     docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "beta gamma 12"), (3, "")], "id int, t string")
     space = features.feature_space(docs, "t", None)

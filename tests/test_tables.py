@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from buildlark import schemas
-from buildlark.operators import tables
+from buildlark.operators import rollups, tables
 
 DDL = "job_name string, build_number long, status string, build_url string, is_demo boolean, synced_at timestamp"
 
@@ -71,3 +71,11 @@ def test_nothing_comes_in(spark, tmp_path):
     before = files(path)
     assert tables.merge_builds(builds(spark, []), path, 4) == [] and files(path) == before
     assert set(tables.stored_builds(spark, path).columns) == {*tables.conform(builds(spark, []), schemas.TABLES["builds"]).columns, "bucket"}
+
+
+def test_inventory_shows_a_whole_row(spark):
+    rows = spark.createDataFrame([(2, "b", None), (1, "z", 2.5), (1, "a", None)], "k int, s string, v double")
+    got = {r.table_name: r for r in rollups.table_inventory({"some": (rows, "k"), "none": (rows.limit(0), "k")}).collect()}
+    assert (got["some"].n_rows, got["some"].sample_key) == (3, "1")
+    assert got["some"].sample_row == '{"k":1,"s":"a","v":null}'
+    assert (got["none"].n_rows, got["none"].sample_key, got["none"].sample_row) == (0, None, None)
