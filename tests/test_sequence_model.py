@@ -59,6 +59,15 @@ def test_learns_when_things_are_said(spark, builds):
     assert row.tp + row.tn + row.fp + row.fn == 300 and row.roc_auc > 0.97
 
 
+def test_few_tasks_are_summed_without_a_shuffle(spark):
+    rows = [([[5 + i % 7, 6, 0, 0]] + [[0] * 4] * 2, i % 2) for i in range(40)]
+    full = [[line + [0] * (sm.S.MAX_TOKENS - 4) for line in ids] + [[0] * sm.S.MAX_TOKENS] * (sm.S.SEQ_LEN - 3) for ids, _ in rows]
+    df = spark.createDataFrame([(ids, y) for ids, (_, y) in zip(full, rows)], "ids array<array<int>>, label int").repartition(3)
+    w = sm.Weights.start()
+    (n, few), (m, many) = (sm._summed(spark, df, w, tasks) for tasks in (3, sm.PARTIAL + 1))
+    assert n == m == 40 and few == pytest.approx(many, abs=1e-12) and few.any()
+
+
 def test_too_few_builds(builds):
     lines, labels = builds
     assert sm.train(lines, labels.where("build < 49")) is None
